@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fusion, leaks, lookalikes, splitting, tokens
+from lodestone.llm import encoding, fusion, leaks, lookalikes, splitting, tokens
 from lodestone.runtime import table
 
 
@@ -16,6 +16,14 @@ def _both(make, chunks: DataFrame, documents: DataFrame) -> DataFrame:  # noqa:
     return a.unionByName(b).select("kind", "key_a", "key_b")
 
 
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_rows(table(spark, sf_dir, "chunks")).withColumnRenamed("key", "chunk_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_repaired(spark, sf_dir).select("chunk_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(lookalikes.lookalike_pairs, table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import encoding, fusion, leaks, lookalikes, splitting, tokens
+from lodestone.llm import encoding, fusion, leaks, lookalikes, nearcopies, splitting, tokens
 from lodestone.runtime import table
 
 
@@ -16,6 +16,23 @@ def _both(make, chunks: DataFrame, documents: DataFrame) -> DataFrame:  # noqa:
     return a.unionByName(b).select("kind", "key_a", "key_b")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> dict[str, nearcopies.NearCopies]:
+    return {
+        "chunk": nearcopies.NearCopies(table(spark, sf_dir, "chunks"), "id", "text", n=8, at_least=0.7, least_chars=200),
+        "name": nearcopies.NearCopies(table(spark, sf_dir, "documents"), "doc_id", "name", n=3, at_least=0.7, short=True),
+    }
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (v.pairs().select(F.lit(k).alias("kind"), "key_a", "key_b") for k, v in _near(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (v.groups().select(F.lit(k).alias("kind"), "key", "class_id", "class_size") for k, v in _near(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, sf_dir, "chunks")).withColumnRenamed("key", "chunk_id")
 

@@ -89,6 +89,11 @@ class Weights:
         self.total = max(1.0, float(self.pairs.sum()))
         self._known: dict[str, float] = {}
 
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the constructor takes, without zeros."""
+        pairs, chars = np.flatnonzero(self.pairs), np.flatnonzero(self.single > 1)
+        return pairs, self.pairs[pairs].astype(np.int64), chars, self.single[chars].astype(np.int64)
+
     def of(self, codes: np.ndarray) -> np.ndarray:
         """For each adjacent pair of ``codes``."""
         a, b = codes[:-1], codes[1:]
@@ -123,15 +128,21 @@ def corpus_weights(df: DataFrame, text: str = "text") -> Weights:
 
 def improbable_segments(scores: np.ndarray) -> list[tuple[int, int]]:
     """All maximum-scoring segments of a row of scores, as half-open ranges: disjoint, each of the largest sum."""
+    if not len(scores):
+        return []
+    # neighbours of one sign go together
+    starts = np.flatnonzero(np.concatenate([[True], (scores[1:] > 0) != (scores[:-1] > 0)]))
+    sums = np.add.reduceat(scores, starts).tolist()
+    places = [*starts.tolist(), len(scores)]
     stack: list[tuple[int, int, float, float]] = []  # begin, end, sum before the segment, sum at its end
     total = 0.0
-    for i, s in enumerate(scores.tolist()):
+    for i, s in enumerate(sums):
         if s <= 0:
             total += s
             continue
-        begin, before = i, total
+        begin, before = places[i], total
         total += s
-        end, after = i + 1, total
+        end, after = places[i + 1], total
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= before:
@@ -181,7 +192,7 @@ class Finder:
                     fixed = raw.decode(right)
                 except UnicodeDecodeError:
                     continue
-                if fixed != span and not _CERTAIN.search(fixed):
+                if fixed != span:
                     yield fixed, wrong, right
 
     def _repair_span(self, before: str, span: str, after: str) -> tuple[str, str, str] | None:
@@ -200,7 +211,7 @@ class Finder:
             if right == "utf-8" and not fixed.isascii():  # read wrongly twice
                 options += [(f, f"{wrong} {w}", r) for f, w, r in self._inverses(fixed) if r == "utf-8"]
             for text, w, r in options:
-                if not self._fits(before, text, after, r):
+                if _CERTAIN.search(text) or not self._fits(before, text, after, r):
                     continue
                 score = self.weights.mean(before + text + after)
                 if score > best:
@@ -229,14 +240,15 @@ class Finder:
         segments = improbable_segments(scores)
         if not segments:
             return []
-        begins = [b for b, _ in segments]
-        out = []
-        for m in _SPAN.finditer(text):
-            a, b = m.span()
-            i = int(np.searchsorted(begins, b, "left"))
-            if i and segments[i - 1][1] >= a:  # the pair before the span is at a - 1, the one after it at b - 1
-                out.append((a, b))
-        return out
+        spans = np.array([m.span() for m in _SPAN.finditer(text)], np.int64).reshape(-1, 2)
+        begin, end = spans[:, 0], spans[:, 1]
+        # the pair before a span is at begin - 1, the one after it at end - 1
+        at = np.searchsorted([b for b, _ in segments], end, "left") - 1
+        inside = (at >= 0) & (np.array([e for _, e in segments])[at] >= begin)
+        sums = np.concatenate([[0.0], np.cumsum(weights)])
+        first, last = np.maximum(begin - 1, 0), np.minimum(end, len(weights))
+        unlikely = sums[last] - sums[first] <= (PLAUSIBLE + 0.05) * (last - first)
+        return [(int(a), int(b)) for a, b in spans[inside & unlikely]]
 
     def garbled(self, text: str, weights: np.ndarray) -> list[tuple[int, int, str | None, str]]:
         """``begin, end, repaired, encodings`` of each garbled run; ``repaired`` is null where nothing fits."""
@@ -272,27 +284,44 @@ class Finder:
         return out
 
 
+def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, str | None, str]]]]:
+    """The texts with garbled runs, by their place in the list."""
+    codes, begins = _codes(texts)
+    weights = finder.weights.of(codes)
+    foreign = (codes[:-1] > 127) | (codes[1:] > 127)
+    edges = np.append(begins, len(codes))
+    hot = np.add.reduceat(np.append((weights < IMPROBABLE) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
+    for i in np.flatnonzero(hot).tolist():
+        text = texts[i]
+        own = np.where(foreign[edges[i] : edges[i + 1] - 1], weights[edges[i] : edges[i + 1] - 1], 0.0)[: max(0, len(text) - 1)]
+        if runs := finder.garbled(text, own):
+            yield i, runs
+
+
+def _restore(text: str, runs: list[tuple[int, int, str | None, str]]) -> str:
+    fixed, at = [], 0
+    for a, b, new, _ in runs:
+        if a >= at and new is not None:
+            fixed += [text[at:a], new]
+            at = b
+    return "".join(fixed) + text[at:]
+
+
+def repair_texts(finder: Finder, texts: list[str]) -> list[str]:
+    """The texts with their recoverable runs restored."""
+    out = list(texts)
+    for i, runs in _found(finder, texts):
+        out[i] = _restore(texts[i], runs)
+    return out
+
+
 def _work(finder: Finder) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-        codes, begins = _codes(texts)
-        weights = finder.weights.of(codes)
-        foreign = (codes[:-1] > 127) | (codes[1:] > 127)
-        edges = np.append(begins, len(codes))
-        hot = np.add.reduceat(np.append((weights < IMPROBABLE) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
         rows = []
-        for i in np.flatnonzero(hot).tolist():
-            text = texts[i]
-            own = np.where(foreign[edges[i] : edges[i + 1] - 1], weights[edges[i] : edges[i + 1] - 1], 0.0)[: max(0, len(text) - 1)]
-            found = finder.garbled(text, own)
-            if found:
-                fixed, at = [], 0
-                for a, b, new, _ in found:
-                    if a >= at and new is not None:
-                        fixed += [text[at:a], new]
-                        at = b
-                repaired = "".join(fixed) + text[at:]
-                rows.append((keys[i], sorted({e for *_, e in found}), repaired, not _CERTAIN.search(repaired)))
+        for i, runs in _found(finder, texts):
+            repaired = _restore(texts[i], runs)
+            rows.append((keys[i], sorted({e for *_, e in runs}), repaired, not _CERTAIN.search(repaired)))
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         types = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "mappings", "repaired", "complete"])
@@ -306,7 +335,6 @@ def garbled_rows(df: DataFrame, key: str = "id", text: str = "text") -> DataFram
     ``complete``: nothing lost is left in it. Null keys and texts, empty and clean texts give no row; repeated rows
     count once; an empty table gives an empty result. Texts are read whole. The weights come from all texts of ``df``.
     """
-    weights = corpus_weights(df, text)
-    sent = df.sparkSession.sparkContext.broadcast((np.flatnonzero(weights.pairs), weights.pairs[weights.pairs > 0], np.flatnonzero(weights.single > 1), weights.single[weights.single > 1]))
+    sent = df.sparkSession.sparkContext.broadcast(corpus_weights(df, text).packed())
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & ~F.col(text).rlike(r"\A[\x00-\x7f]*\z")).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     return map_text(rows, "text", lambda: _work(Finder(Weights(*sent.value))), "key bigint, mappings array<string>, repaired string, complete boolean").dropDuplicates(["key"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import encoding, fusion, leaks, lookalikes, nearcopies, splitting, tokens
+from lodestone.llm import encoding, fusion, languages, leaks, lookalikes, nearcopies, splitting, tokens
 from lodestone.runtime import table
 
 
@@ -113,6 +113,14 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), p9_leaks(spark, sf_dir))
 
 
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 

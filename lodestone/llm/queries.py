@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import encoding, fusion, languages, leaks, lookalikes, nearcopies, splitting, tokens
+from lodestone.llm import encoding, fusion, languages, leaks, lookalikes, nearcopies, neighbours, splitting, tokens
 from lodestone.runtime import table
 
 
@@ -97,6 +97,40 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 P5_FOUND = "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 800 AND id IS NOT NULL"
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> dict[str, neighbours.Neighbours]:
+    return {
+        "chunk": neighbours.Neighbours(table(spark, sf_dir, "chunk_embeddings"), "chunk_id"),
+        "document": neighbours.Neighbours(table(spark, sf_dir, "documents"), "doc_id"),
+    }
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (v.pairs(0.90).select(F.lit(k).alias("kind"), "key_a", "key_b") for k, v in _vectors(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (v.neighbours().select(F.lit(k).alias("kind"), "key", "neighbour", "cosine", "place") for k, v in _vectors(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+_P6_KIND = """
+{kind}_v AS (
+  SELECT key, min(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))) AS v FROM (
+    SELECT DISTINCT {key} AS key, embedding::DOUBLE[] AS e FROM {table}
+    WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0) GROUP BY key),
+{kind}_near AS (
+  SELECT a.key AS a, b.key AS b, list_dot_product(a.v, b.v) AS cosine,
+         row_number() OVER (PARTITION BY a.key ORDER BY list_dot_product(a.v, b.v) DESC, b.key) AS place
+  FROM {kind}_v a JOIN {kind}_v b ON a.key <> b.key)"""
+_P6_PARTS = [("chunk", "chunk_id", "chunk_embeddings"), ("document", "doc_id", "documents")]
+P6_FOUND = (
+    "WITH " + ",".join(_P6_KIND.format(kind=k, key=c, table=t) for k, c, t in _P6_PARTS)
+    + " UNION ALL ".join(f" SELECT DISTINCT '{k}' AS kind, least(a, b) AS key_a, greatest(a, b) AS key_b FROM {k}_near WHERE place <= 5 AND round(cosine, 6) >= 0.90" for k, _, _ in _P6_PARTS)
+)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -126,4 +160,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p4_ranking": P4_RANKING, "p5_found": P5_FOUND}
+    return {"p4_found": P4_FOUND, "p4_ranking": P4_RANKING, "p5_found": P5_FOUND, "p6_found": P6_FOUND}

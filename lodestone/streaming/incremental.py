@@ -8,21 +8,18 @@ can see; one that dies after it has committed. Of two runs that race, the second
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.manifest import Manifest
+
 CHANGES = "run_id int, path string, modified_ms bigint, size bigint"
 STATE = "path string, modified_ms bigint, size bigint"
 
 
-class ConflictError(RuntimeError):
-    """Another run committed the same sequence number first."""
-
-
 @dataclass(frozen=True)
 class Commit:
     sequence: int
@@ -32,51 +29,24 @@ class Commit:
 
 
 class CommitLog:
-    """Commits below ``base``, a folder of any file system that Spark can write to."""
+    """Commits below ``base``."""
 
     def __init__(self, spark: SparkSession, base: str) -> None:
-        self.spark, self.base = spark, base.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.base).getFileSystem(conf)
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.base).toUri(), conf)
-        self._rename = jvm.org.apache.hadoop.fs.Options.Rename
+        self.spark, self.manifest = spark, Manifest(spark, base)
+        self.base = self.manifest.base
 
     def sequences(self) -> list[int]:
-        folder = self._path(f"{self.base}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return self.manifest.sequences()
 
     def read(self, sequence: int) -> Commit:
-        stream = self._fs.open(self._path(f"{self.base}/commits/{sequence:020d}.json"))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return Commit(**json.loads(text))
+        return Commit(**self.manifest.read(sequence))
 
     def last(self) -> Commit | None:
-        known = self.sequences()
-        return self.read(known[-1]) if known else None
+        entry = self.manifest.last()
+        return None if entry is None else Commit(**entry)
 
     def publish(self, commit: Commit) -> None:
-        hidden = self._path(f"{self.base}/commits/.{uuid.uuid4().hex}")
-        out = self._fs.create(hidden, False)
-        try:
-            out.write(bytearray(json.dumps(commit.__dict__).encode()))
-        finally:
-            out.close()
-        target = self._path(f"{self.base}/commits/{commit.sequence:020d}.json")
-        none = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        none[0] = self._rename.NONE
-        try:
-            self._context.rename(hidden, target, none)
-        except Exception as error:
-            self._fs.delete(hidden, False)
-            raise ConflictError(f"sequence {commit.sequence} is taken") from error
+        self.manifest.publish(commit.sequence, commit.__dict__)
 
     def changes(self) -> DataFrame:
         """All committed output."""
@@ -140,6 +110,6 @@ def process(log: CommitLog, scans: DataFrame, runs: DataFrame, initial: DataFram
     rows.select("run_id", "path", "modified_ms", "size", F.explode(kinds).alias("part")).write.partitionBy("part").parquet(staged)
     commit = Commit((last.sequence if last else 0) + 1, int(upto), f"staged-{name}/part=changes", f"staged-{name}/part=state")
     for part in (commit.changes, commit.state):
-        log._fs.mkdirs(log._path(f"{log.base}/{part}"))
+        log.manifest.ensure(part)
     log.publish(commit)
     return commit

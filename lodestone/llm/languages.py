@@ -49,8 +49,9 @@ class Model:
 
     ORDER = 4
 
-    def __init__(self, sentences: list[tuple[str, str]], corpus: np.ndarray | None = None) -> None:
-        self.corpus = corpus
+    def __init__(self, sentences: list[tuple[str, str]], corpus: np.ndarray | None = None, guess: bool = True) -> None:
+        """``guess``: score words that neither the sentences nor the corpus have by their characters."""
+        self.corpus, self.guess = corpus, guess
         if corpus is not None:
             self.documents = np.maximum(corpus.sum(0), 1.0)
         self.grams = [Counter() for _ in LANGUAGES]
@@ -98,15 +99,14 @@ class Model:
                 return out
         low = word.lower()
         seen = any(low in self.words[i] for i in LATIN)
+        if not seen and (word[0].isupper() or not self.guess):  # a name, as likely as not
+            return np.zeros(len(LANGUAGES), np.float32)
         total = np.zeros(len(LATIN))
         for gram in self._grams(low):
             known = self.score_of.get(gram)
             if known is not None:
                 total += known
         total *= 0.6 if seen else 0.4
-        if not seen and word[0].isupper():  # a name, as likely as not
-            total *= 0.25
-            out *= 0.25
         limit = float(-out[0])
         out[LATIN] = np.maximum(total - total.max(), -limit)
         return out
@@ -300,7 +300,7 @@ def corpus_words(rows: DataFrame, sentences: list[tuple[str, str]]) -> tuple[np.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_, table = Spans(Model(sentences)), np.zeros(WORD_BUCKETS * len(LATIN), np.int64)
+        spans_, table = Spans(Model(sentences, guess=False)), np.zeros(WORD_BUCKETS * len(LATIN), np.int64)
         place = np.full(len(LANGUAGES), -1)
         place[LATIN] = np.arange(len(LATIN))
         for batch in sliced(batches, "text"):
@@ -367,7 +367,11 @@ def findings(docs: DataFrame, samples: DataFrame, key: str = "doc_id", lang: str
     found = spans(docs, samples, key, text)
     foreign = (F.col("span_lang") != F.col("lang")) & (F.col("end") - F.col("begin") >= STRETCH)
     each = found.groupBy("doc_id", "lang").agg(F.collect_set(F.when(foreign, F.col("span_lang"))).alias("others"))
-    both = each.join(labels, "doc_id")
-    label = both.where(~F.coalesce(F.col("told") == F.col("lang"), F.lit(False))).select("doc_id", F.lit("label").alias("kind"), "lang")
-    mixed = each.where(F.size("others") > 0).select("doc_id", F.lit("mixed").alias("kind"), F.explode(F.array_union(F.array("lang"), "others")).alias("lang"))
-    return label.distinct().unionByName(mixed.distinct())
+    right = F.coalesce(F.col("told") == F.col("lang"), F.lit(False))
+    kinds = F.concat(
+        F.when(right, F.array().cast("array<struct<kind:string,lang:string>>")).otherwise(F.array(F.struct(F.lit("label").alias("kind"), "lang"))),
+        F.when(F.size("others") > 0, F.transform(F.array_union(F.array("lang"), "others"), lambda x: F.struct(F.lit("mixed").alias("kind"), x.alias("lang")))).otherwise(
+            F.array().cast("array<struct<kind:string,lang:string>>")
+        ),
+    )
+    return each.join(labels, "doc_id").select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", "k.lang").distinct()

@@ -28,6 +28,8 @@ PAIR_BUCKETS = 1 << 20
 IMPROBABLE = -4.7
 GAIN = 0.7
 _FLOOR = -8.5
+#: Pairs seen no more often than this have at most this weight, however small the corpus is.
+RARE, RARE_WEIGHT = 4, -5.2
 #: A run as probable as this is left as it is; a repair must come out at least so probable.
 PLAUSIBLE = -3.7
 ACCEPTABLE = -5.2
@@ -101,6 +103,7 @@ class Weights:
         with np.errstate(divide="ignore", invalid="ignore"):
             pmi = np.log(n * self.total / (self.single[a] * self.single[b]))
             weight = np.log10(n / self.total * np.maximum(1.0, pmi))
+        weight = np.where(n > RARE, weight, np.minimum(weight, RARE_WEIGHT))
         return np.where(n > 0, np.maximum(weight, _FLOOR), _FLOOR)
 
     def mean(self, text: str) -> float:
@@ -269,7 +272,34 @@ class Finder:
                     out += self._parts(text, x, y)
         if not out:
             out = [(m.start(), m.end(), None, "lost") for m in _CERTAIN.finditer(text)]
-        return sorted(set(out))
+        return sorted(set(out) | set(self._alike(text, out)))
+
+    def _alike(self, text: str, found: list[tuple[int, int, str | None, str]]) -> Iterator[tuple[int, int, str | None, str]]:
+        """The text's other runs that a mapping found in it restores: what was read wrongly once was so throughout.
+
+        Only UTF-8 as the right encoding counts here, since hardly anything else is valid in it.
+        """
+        done = [(a, b) for a, b, new, _ in found if new is not None]
+        for wrong, right in {tuple(e.split(" > ")) for *_, new, e in found if new is not None}:
+            if right != "utf-8":
+                continue
+            for m in re.finditer(r"[^\x00-\x7f\ufffd]{2,}", text):
+                a, b = m.span()
+                if any(x < b and a < y for x, y in done):
+                    continue
+                fixed = m[0]
+                for codec in wrong.split():
+                    raw = _sloppy(fixed, codec)
+                    try:
+                        fixed = raw.decode("utf-8") if raw is not None else ""
+                    except UnicodeDecodeError:
+                        fixed = ""
+                    if not fixed:
+                        break
+                around = text[max(0, a - 1) : a], text[b : b + 1]
+                if fixed and fixed != m[0] and not _CERTAIN.search(fixed) and self.weights.mean(fixed.join(around)) > self.weights.mean(m[0].join(around)):
+                    done.append((a, b))
+                    yield a, b, fixed, f"{wrong} > {right}"
 
     def _parts(self, text: str, a: int, b: int) -> list[tuple[int, int, str | None, str]]:
         """The pieces of a span between characters that are lost or ASCII."""
@@ -333,7 +363,8 @@ def garbled_rows(df: DataFrame, key: str = "id", text: str = "text") -> DataFram
     """``key, mappings, repaired, complete``: every row with a garbled run, its text with the recoverable runs restored.
 
     ``complete``: nothing lost is left in it. Null keys and texts, empty and clean texts give no row; repeated rows
-    count once; an empty table gives an empty result. Texts are read whole. The weights come from all texts of ``df``.
+    count once; an empty table gives an empty result. Texts are read whole. The weights come from all texts of ``df``; of
+    less than about a hundred thousand characters they tell little, and only certain marks are found for sure.
     """
     sent = df.sparkSession.sparkContext.broadcast(corpus_weights(df, text).packed())
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & ~F.col(text).rlike(r"\A[\x00-\x7f]*\z")).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))

@@ -20,7 +20,8 @@ def debounce_stream(events: DataFrame, watermark: str = "10 seconds", gap_us: in
     A session window merges events exactly its gap apart, a burst splits there; the gap is shorter by a microsecond.
     """
     session = F.session_window("ts", f"{gap_us - 1} microseconds")
-    bursts = events.withWatermark("ts", watermark).groupBy(session.alias("s")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    scope = F.coalesce(F.char_length("path") * 0, F.lit(0))  # bursts are global, session windows need a key
+    bursts = events.withWatermark("ts", watermark).groupBy(session.alias("s"), scope.alias("scope")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
     return bursts.select(F.col("s.start").alias("begin"), F.col("s.end").alias("end"), "paths")
 
 

@@ -36,14 +36,30 @@ def build_postings(chunks: DataFrame, documents: DataFrame) -> Postings:
     names = documents.select(F.col("id").alias("document_id"), "name").dropDuplicates(["document_id"])
     both = once.join(names, "document_id", "left").select("chunk_id", "document_id", T.index_pieces(F.coalesce("name", F.lit(""))).alias("n"), T.index_pieces(F.coalesce("text", F.lit(""))).alias("b"))
     sized = both.withColumn("dl", F.size("n") * NAME_WEIGHT + F.size("b") * BODY_WEIGHT)
-    weighted = F.concat(_weighted("n", NAME_WEIGHT), _weighted("b", BODY_WEIGHT))
-    rows = sized.select("chunk_id", "document_id", "dl", F.explode(weighted).alias("e")).select("chunk_id", "document_id", "dl", "e.term", "e.w")
-    terms = rows.groupBy("term", "chunk_id", "document_id", "dl").agg(F.sum("w").cast("int").alias("tf"))
-    return Postings(terms.select("term", "chunk_id", "document_id", "tf", "dl"), sized.select("chunk_id", "document_id", "dl"))
+    rows = sized.select("chunk_id", "document_id", "dl", F.explode(_frequencies(F.col("n"), F.col("b"))).alias("e"))
+    return Postings(rows.select("e.term", "chunk_id", "document_id", "e.tf", "dl"), sized.select("chunk_id", "document_id", "dl"))
 
 
-def _weighted(pieces: str, weight: int) -> Column:
-    return F.transform(pieces, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def _frequencies(name: Column, body: Column) -> Column:
+    """The pieces of an entry with their weighted numbers, counted inside its row: an index is built without a shuffle.
+
+    Name and body hold a piece once unless a longer term was split into it; only then pieces are counted one by one.
+    """
+
+    def entries(pieces: Column, tf: int) -> Column:
+        return F.transform(pieces, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf")))
+
+    once = F.concat(
+        entries(F.array_intersect(name, body), NAME_WEIGHT + BODY_WEIGHT),
+        entries(F.array_except(name, body), NAME_WEIGHT),
+        entries(F.array_except(body, name), BODY_WEIGHT),
+    )
+    counted = F.transform(
+        F.array_distinct(F.concat(name, body)),
+        lambda t: F.struct(t.alias("term"), (F.size(F.filter(name, lambda x: x == t)) * NAME_WEIGHT + F.size(F.filter(body, lambda x: x == t)) * BODY_WEIGHT).alias("tf")),
+    )
+    repeats = (F.size(F.array_distinct(name)) < F.size(name)) | (F.size(F.array_distinct(body)) < F.size(body))
+    return F.when(repeats, counted).otherwise(once)
 
 
 def replace_postings(old: Postings, chunks: DataFrame, documents: DataFrame) -> Postings:

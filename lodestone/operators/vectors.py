@@ -14,24 +14,21 @@ from pyspark.sql import functions as F
 PASS = 20_000
 
 
-def _dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The rows whose vector has the commonest non-zero length of the batch, and these vectors; null numbers count as 0."""
+def _dense(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each non-zero length of vectors in it, the rows with that length and their vectors; null numbers count as 0."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    known = sizes[sizes > 0]
-    if not len(known):
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    width = int(np.bincount(known).argmax())
-    at = np.flatnonzero(sizes == width)
-    flat = pc.fill_null(column.take(pa.array(at)).flatten().cast(pa.float64()), 0.0)
-    return at, flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        flat = pc.fill_null(column.take(pa.array(at)).flatten().cast(pa.float64()), 0.0)
+        yield at, flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = None, strict: bool = False) -> DataFrame:
     """``query_id, id, sim, place``: the ``k`` rows with the largest products for each query; 6 decimals, ties by id.
 
     ``queries``: ``query_id, vector``; ``rows``: ``id, vector``. Negative products count as 0; vectors of another length
-    than the query's are passed over. Each batch multiplies one matrix and keeps its own best ``k`` of every query, so
-    at most ``k`` rows a batch and query are shuffled.
+    than the query's are passed over, whatever else their batch holds. Each batch multiplies one matrix for every length
+    that is asked for and keeps its own best ``k`` of every query, so at most ``k`` rows a batch and query are shuffled.
     """
     stated = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     passes = max(1, -(-stated.count() // PASS))
@@ -39,23 +36,23 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = Non
     out = None
     for i in range(passes):
         part = (stated if passes == 1 else stated.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)).toArrow()
-        at, matrix = _dense(part.column("vector").combine_chunks())
-        sent = rows.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy()[at], matrix))
+        ids = part.column("query_id").to_numpy()
+        sent = rows.sparkSession.sparkContext.broadcast({m.shape[1]: (ids[at], m) for at, m in _dense(part.column("vector").combine_chunks())})
 
         def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            names, asked = sent.value
             for batch in batches:
-                own, vectors = _dense(batch.column("vector"))
-                if not len(own) or not len(names) or vectors.shape[1] != asked.shape[1]:
-                    continue
-                ids = batch.column("id").to_numpy()[own]
-                order = np.argsort(ids, kind="stable")
-                ids, vectors = ids[order], vectors[order]
-                for a in range(0, len(names), 512):
-                    sims = np.round(np.maximum(asked[a : a + 512] @ vectors.T, 0.0), 6)
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    best = np.take_along_axis(sims, top, 1)
-                    yield pa.record_batch([pa.array(np.repeat(names[a : a + 512], top.shape[1])), pa.array(ids[top].reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "id", "sim"])
+                every = batch.column("id").to_numpy()
+                for own, vectors in _dense(batch.column("vector")):
+                    if vectors.shape[1] not in sent.value:
+                        continue
+                    names, asked = sent.value[vectors.shape[1]]
+                    order = np.argsort(every[own], kind="stable")
+                    ids, vectors = every[own][order], vectors[order]
+                    for a in range(0, len(names), 512):
+                        sims = np.round(np.maximum(asked[a : a + 512] @ vectors.T, 0.0), 6)
+                        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                        best = np.take_along_axis(sims, top, 1)
+                        yield pa.record_batch([pa.array(np.repeat(names[a : a + 512], top.shape[1])), pa.array(ids[top].reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "id", "sim"])
 
         found = data.mapInArrow(nearest, "query_id bigint, id bigint, sim double")
         out = found if out is None else out.unionByName(found)

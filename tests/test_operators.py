@@ -65,6 +65,13 @@ def test_vectors(spark):
     assert [(x.id, x.sim) for x in exact.top_k(asked, rows, 2).orderBy("place").collect()] == [(1, 1.0), (3, 0.6)]
 
 
+def test_top_k_with_vectors_of_several_lengths(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0, 0.0]) for i in range(10, 16)] + [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None), (4, [])], "id bigint, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0])], "query_id bigint, vector array<double>")
+    got = [(x.query_id, x.id, x.sim) for x in exact.top_k(asked, rows, 2).orderBy("query_id", "place").collect()]
+    assert got == [(0, 1, 1.0), (0, 2, 0.6), (1, 2, 0.8), (1, 1, 0.0), (2, 10, 1.0), (2, 11, 1.0)]
+
+
 def test_roots_and_prefixes(spark):
     paths = spark.createDataFrame([("/a/b/c.txt",), ("/a/bc/d.txt",), ("/x",), ("/a/b",)], "path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/",)], "path string")

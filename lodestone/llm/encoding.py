@@ -2,10 +2,13 @@
 
 Every pair of adjacent characters has a weight from counts over the whole corpus, its term of the mutual information
 ``p(ab) * log(p(ab) / (p(a) p(b)))`` (the logarithm counts as 1 at least, so that frequent chance pairs are not
-punished). Pairs below a threshold score positive, others negative, and the maximum-scoring segments of these scores
-are the improbable runs. Inverse mappings (encode by the encoding that was wrongly used, decode by the right one) are
-tried on the characters of such runs only, and kept if they make the run clearly more probable. Replacement
-characters, private-use characters and C1 controls are garbled in any case; they may not be recoverable.
+punished). In these counts a run that is valid UTF-8 by an inverse mapping stands as what it was, and other certain
+marks and long runs of Latin-1 bytes are left out, so that a source read wrongly is not made probable by its size.
+Pairs below a threshold score positive, others negative, and the maximum-scoring segments of these scores are the
+improbable runs. Inverse mappings (encode by the encoding that was wrongly used, decode by the right one) are tried on
+the characters of such runs only, and kept if they make the run clearly more probable. Texts with a run as described
+or a certain mark are looked at in any case. Replacement characters, private-use characters and C1 controls are
+garbled in any case; they may not be recoverable.
 """
 
 from __future__ import annotations
@@ -54,6 +57,11 @@ INVERSE = {
 SINGLE = {"cp1252", "cp1251", "koi8_r"}
 
 _CERTAIN = re.compile("[\ufffd\ue000-\uf8ff\x80-\x84\x86-\x9f]")
+#: Encodings that UTF-8 may have been read in: of one byte a character, of two.
+_ONE = [c for c, rights in INVERSE.items() if "utf-8" in rights and c not in ("gb18030", "big5", "cp932", "cp949")]
+_TWO = [c for c in INVERSE if c in ("gb18030", "big5", "cp932", "cp949")]
+#: So many adjacent characters of the upper half of Latin-1 are bytes of another encoding, not words.
+_ALL_HIGH = 4
 _SPAN = re.compile(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*[a-z]?")
 
 
@@ -69,10 +77,106 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.cumsum(sizes) - sizes
 
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point, a bit for each encoding: it reads a lead byte so (of 2, of 3 or 4), or a continuation byte; then
+    for encodings of two bytes the kinds of both, as bits: lead and continuation 1, continuation and lead 2, continuations 4.
+    """
+    lead2, lead3, further = (np.zeros(0x10000, np.uint16) for _ in range(3))
+    for bit, codec in enumerate(_ONE):
+        for byte in range(0x80, 0xF5):
+            raw = bytes([byte])
+            seen = raw.decode(codec, "ignore") or (raw.decode("latin-1") if codec == "cp1252" else "")
+            for c in seen:
+                table = further if byte < 0xC0 else lead2 if byte < 0xE0 else lead3
+                table[ord(c)] |= 1 << bit
+    pairs = np.zeros(0x10000, np.uint16)
+    for i, codec in enumerate(_TWO):
+        for code in range(0x80, 0x10000):
+            raw = chr(code).encode(codec, "ignore") if not 0xD800 <= code < 0xE000 else b""
+            if len(raw) == 2:
+                one, two = (0 if b < 0x80 else 1 if b < 0xC0 else 2 if b < 0xF5 else 0 for b in raw)
+                pairs[code] |= {(2, 1): 1, (1, 2): 2, (1, 1): 4}.get((one, two), 0) << (4 * i)
+    return lead2, lead3, further, pairs
+
+
+@lru_cache(maxsize=100_000)
+def as_utf8(run: str) -> str | None:
+    """What the run was if it is UTF-8 read in another encoding, perhaps more than once; else ``None``.
+
+    The whole run must be valid; signs and letters of Latin script may stand alone, others need a second one.
+    """
+    for codec in (*_ONE, *_TWO):
+        raw = _sloppy(run, codec)
+        try:
+            fixed = raw.decode("utf-8") if raw is not None else ""
+        except UnicodeDecodeError:
+            continue
+        foreign = [c for c in fixed if c > "\x7f"]
+        if not foreign or len(fixed) >= len(run) and codec in _ONE or _CERTAIN.search(fixed):
+            continue
+        known = sum("\xa0" <= c < "\u0180" or "\u2010" <= c < "\u2045" or c in "€™" for c in foreign)
+        if known == len(foreign) or len(foreign) > 1 and all("\xa0" <= c < "\u0250" or "\u0370" <= c < "\u0530" or "\u2010" <= c < "\u2200" or "\u2e80" <= c < "\ua000" or "\uac00" <= c < "\ud7b0" or "\uff00" <= c < "\uffe7" for c in foreign):
+            return as_utf8(fixed) or fixed
+    return None
+
+
+def _upper(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of all runs of characters beyond ASCII, and the places of those that ``_CERTAIN`` matches."""
+    at = np.flatnonzero(codes > 127)
+    if not len(at):
+        return at, at, at
+    cut = np.flatnonzero(np.diff(at) > 1)
+    c = codes[at]
+    certain = (c == 0xFFFD) | (c >= 0xE000) & (c <= 0xF8FF) | (c <= 0x9F) & (c != 0x85)
+    return at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + 1, at[certain]
+
+
+def _misread(texts: list[str | None], codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[str, list[tuple[int, int, str]]]:
+    """The texts joined, and their runs that are UTF-8 read in another encoding, with what they were; weights play no part."""
+    if not len(begin):
+        return "", []
+    lead2, lead3, further, pairs = _tables()
+    last = len(codes) - 1  # a 0, as is what follows each text
+    c0, c1, c2 = (np.minimum(codes[np.minimum(begin + i, last)], 0xFFFF) for i in range(3))
+    one = (lead2[c0] & further[c1]) | (lead3[c0] & further[c1] & further[c2])
+    size = end - begin
+    p0, p1, p2 = pairs[c0], pairs[c1], pairs[c2]
+    two = (size > 2) & (((p0 & (p1 >> 1) & (p2 >> 2) & 0x1111) | (p0 & p1 & p2 & 0x1111)) > 0)
+    before, after = codes[begin - 1], codes[end]
+    alone = (size == 1) & ((p0 & 0x1111) > 0) & (before >= 97) & (before <= 122) & (after >= 97) & (after <= 122)  # inside a word
+    at = np.flatnonzero((one > 0) | two | alone)
+    joined = "\0".join(t or "" for t in texts) + "\0" if len(at) else ""
+    out = []
+    for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True):
+        if (fixed := as_utf8(joined[a:b])) is not None:
+            out.append((a, b, fixed))
+    return joined, out
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of what the texts say: UTF-8 that was read wrongly counts as what it was, other certain marks not at all.
+
+    So a source that was read wrongly does not become probable by its size.
+    """
     pairs, single = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(0x110000, np.int64)
     for batch in sliced(batches, "text"):
-        codes, _ = _codes(batch.column("text").to_pylist())
+        texts = batch.column("text").to_pylist()
+        codes, _ = _codes(texts)
+        begin, end, certain = _upper(codes)
+        joined, misread = _misread(texts, codes, begin, end)
+        if misread:
+            parts, at = [], 0
+            for a, b, fixed in misread:
+                parts += [joined[at:a], fixed]
+                at = b
+            codes = np.frombuffer(("".join(parts) + joined[at:]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            begin, end, certain = _upper(codes)
+        codes[certain] = 0
+        long = (end - begin >= _ALL_HIGH) & (codes[begin] < 0x100)
+        for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+            if codes[a:b].max() < 0x100:
+                codes[a:b] = 0
         single += np.bincount(codes, minlength=0x110000)
         pairs += np.bincount(_bucket(codes[:-1], codes[1:])[(codes[:-1] > 0) & (codes[1:] > 0)], minlength=PAIR_BUCKETS)
     for kind, table in ((0, pairs), (1, single)):
@@ -98,7 +202,9 @@ class Weights:
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """For each adjacent pair of ``codes``."""
-        a, b = codes[:-1], codes[1:]
+        return self.of_pairs(codes[:-1], codes[1:])
+
+    def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = self.pairs[_bucket(a, b)]
         with np.errstate(divide="ignore", invalid="ignore"):
             pmi = np.log(n * self.total / (self.single[a] * self.single[b]))
@@ -317,10 +423,16 @@ class Finder:
 def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, str | None, str]]]]:
     """The texts with garbled runs, by their place in the list."""
     codes, begins = _codes(texts)
-    weights = finder.weights.of(codes)
     foreign = (codes[:-1] > 127) | (codes[1:] > 127)
+    at = np.flatnonzero(foreign)
+    weights = np.zeros(len(foreign))  # only pairs with a foreign character are asked for
+    weights[at] = finder.weights.of_pairs(codes[at], codes[at + 1])
     edges = np.append(begins, len(codes))
     hot = np.add.reduceat(np.append((weights < IMPROBABLE) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
+    # certain marks and runs of UTF-8 read wrongly are tested, however probable
+    begin, end, certain = _upper(codes)
+    sure = np.concatenate([certain, np.array([a for a, *_ in _misread(texts, codes, begin, end)[1]], np.int64)])
+    hot[np.searchsorted(begins, sure, "right") - 1] = True
     for i in np.flatnonzero(hot).tolist():
         text = texts[i]
         own = np.where(foreign[edges[i] : edges[i + 1] - 1], weights[edges[i] : edges[i + 1] - 1], 0.0)[: max(0, len(text) - 1)]

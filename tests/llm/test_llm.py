@@ -116,6 +116,15 @@ def test_garbled_text_is_found_and_restored(spark):
     assert encoding.garbled_rows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text, wrong", [(GERMAN, "latin-1"), (GERMAN, "mac_roman"), (CHINESE, "latin-1"), (GERMAN, None)])
+def test_a_source_read_wrongly_is_found_however_large(spark, text, wrong):
+    bad = text.encode().decode(wrong) if wrong else text.encode("cp1252").decode("utf-8", "replace")
+    rows = [(i, bad if i % 10 < 4 else (GERMAN, CHINESE, RUSSIAN)[i % 3]) for i in range(3000)]
+    got = {r.key: r.repaired for r in encoding.garbled_rows(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert set(got) == {i for i in range(3000) if i % 10 < 4}
+    assert set(got.values()) == {text if wrong else bad}
+
+
 def test_improbable_segments_equal_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(60):

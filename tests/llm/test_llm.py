@@ -246,6 +246,25 @@ def test_neighbours_reach_the_recall(spark, monkeypatch):
     assert neighbours.Neighbours(df.limit(0), "chunk_id").neighbours().count() == 0
 
 
+@pytest.mark.parametrize("piece", [100_000, 150])
+def test_neighbours_reach_the_recall_over_hundreds_of_shards(spark, monkeypatch, piece):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 12)) @ rng.normal(size=(12, 64)) + rng.normal(size=(6000, 64)) * 0.1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id bigint, embedding array<double>")
+    monkeypatch.setattr(neighbours, "SHARD", 20)
+    if hasattr(neighbours, "SLICE"):
+        monkeypatch.setattr(neighbours, "SLICE", piece)
+        monkeypatch.setattr(neighbours, "SPLIT", 30)
+    found = {(r.key, r.neighbour) for r in neighbours.Neighbours(df, "chunk_id").neighbours().collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    recall = sum((a, int(b)) in found for a in range(6000) for b in best[a]) / 30_000
+    print("recall", recall)
+    assert recall >= 0.9
+
+
 def test_graph_is_exact_on_few_points():
     x = np.random.default_rng(2).normal(size=(20, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

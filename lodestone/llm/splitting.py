@@ -2,8 +2,8 @@
 
 A text is read as sentences. Blocks of words before and after every sentence end are compared; a valley of their
 similarity marks a change of topic, and its depth is measured against the peaks on both sides. Each piece ends at the
-deepest valley inside its size window; without a sentence end there it ends at a clause, then at white space, then at
-the limit. The next piece begins ``overlap`` characters before that cut, or at the natural pause nearest to it.
+deepest valley inside its size window, the second half of the limit; without a sentence end there it ends at the
+deepest one before, as far as that brings new text, then at a clause, then at white space, then at the limit. The next piece begins ``overlap`` characters before that cut, or at the natural pause nearest to it.
 """
 
 from __future__ import annotations
@@ -76,12 +76,13 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     pauses = [np.array(sorted({m.end() for m in p.finditer(text)} - {0, n}), np.int64) for p in (_SENTENCE, _CLAUSE, _SPACE)]
     depth = valleys(text, pauses[0]) if len(pauses[0]) else np.zeros(0)
     anywhere = np.unique(np.concatenate(pauses))
-    out, start = [], 0
+    out, start, cut = [], 0, 0
     while n - start > limit:
         least = start + max(limit // 2, overlap + 1)
+        early = max(start + overlap, cut) + 1  # a piece is more than its overlap, and ends after the last one
         cut = 0
-        for kind, ends in enumerate(pauses):
-            a, b = np.searchsorted(ends, least, "left"), np.searchsorted(ends, start + limit, "right")
+        for kind, ends, begin in ((0, pauses[0], least), (0, pauses[0], early), (1, pauses[1], least), (2, pauses[2], least)):
+            a, b = np.searchsorted(ends, begin, "left"), np.searchsorted(ends, start + limit, "right")
             if b > a:
                 # of equal depth the latest, so that pieces are not shorter than they need be
                 cut = int(ends[b - 1 - np.argmax(depth[a:b][::-1])]) if kind == 0 else int(ends[b - 1])

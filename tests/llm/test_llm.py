@@ -212,6 +212,23 @@ def test_cut_at_the_change_of_topic():
     assert cut == len(one) + 1
 
 
+@pytest.mark.parametrize("after", ["b" * 500, "b, " * 170, "b " * 250])
+def test_cut_at_the_only_sentence_end_of_the_window(after):
+    text = "A" * 388 + ". " + after + "c" * 400
+    cuts = splitting.cut_points(text)
+    assert cuts[0] == (0, 390) and cuts[-1][1] == len(text)
+    assert all(a1 < a2 <= b1 < b2 for (a1, b1), (a2, b2) in itertools.pairwise(cuts)) and all(b - a <= 800 for a, b in cuts)
+
+
+def test_early_sentence_ends_move_on():
+    for seed in range(200):
+        rng = random.Random(seed)
+        text = "".join(rng.choice(["x" * rng.randrange(1, 900), "y. " * rng.randrange(1, 9), "z, ", "w "]) for _ in range(40))
+        cuts = splitting.cut_points(text)
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and all(b - a <= 800 for a, b in cuts)
+        assert all(a1 < a2 <= b1 < b2 for (a1, b1), (a2, b2) in itertools.pairwise(cuts))
+
+
 def test_resplit_numbers_anew(spark):
     rows = [(1, "d", 5, "a" * 900), (2, "d", 9, "b"), (2, "d", 9, "b"), (3, None, 0, None), (4, "e", None, ""), (None, "e", 1, "z" * 900)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id bigint, document_id string, position int, text string, piece int")

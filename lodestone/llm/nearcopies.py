@@ -6,8 +6,9 @@ Jaccard similarity J. ``ORDERS`` orders form one filter: a pair passes it if its
 pair is a candidate if it passes one of ``FILTERS`` filters, so at J = 0.7 one in 60 000 is missed, and fewer above.
 The intersection of a filter is one hash of its prefix tokens, found by an equi-join. Beside it travel 128 sketch bits
 that differ with probability (1 - J) / 2 each: a pair with J = 0.7 has 19 differing bits in the mean, and those with
-more than ``MOST_BITS`` (over four standard deviations) are dropped inside the join. What is left is verified exactly
-on the whole texts.
+more than ``MOST_BITS`` (over five standard deviations, one in a million) are dropped inside the join. Both together miss one in
+55 000. What is left is verified exactly on the whole texts. Long texts take their orders from few hashes, by bins;
+texts of few distinct tokens would leave bins empty and so repeat orders, and take a hash for every order.
 
 Exact copies are grouped before any of this: one representative stands for any number of them.
 """
@@ -28,7 +29,9 @@ from lodestone.runtime import cut
 
 ORDERS = 4
 FILTERS = 40
-MOST_BITS = 36
+MOST_BITS = 40
+#: Texts with no more distinct tokens take an own hash for every order: bins of a shared one would mostly be empty.
+FEW = 150
 #: Copies of one text that are paired with each other one by one; larger groups are linked to their representative.
 EXPAND = 50
 _BINS = 64
@@ -65,6 +68,20 @@ def _tokens(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, owner
 
 
+def _distinct(texts: list[str], n: int) -> np.ndarray:
+    """How many distinct tokens each text has; of long texts only whether they are more than ``FEW / 0.7``."""
+    out = np.empty(len(texts), np.int64)
+    enough = int(FEW / 0.7) + 1
+    for i, t in enumerate(texts):
+        seen: set[str] = set()
+        for a in range(0, len(t) - n + 1, 512):
+            seen.update([t[j : j + n] for j in range(a, min(a + 512, len(t) - n + 1))])
+            if len(seen) > enough:
+                break
+        out[i] = len(seen)
+    return out
+
+
 def prefixes(texts: list[str], n: int) -> np.ndarray:
     """For each text its first token under each of the orders (one row a text, ``_PASSES * _BINS`` orders).
 
@@ -111,15 +128,27 @@ def _fingerprints(n: int, short: bool) -> Callable[[pa.RecordBatch], pa.RecordBa
         names = ["filter", "h", "s1", "s2"]
         if not texts:
             return pa.record_batch([pa.array([], pa.int64())] * 4, names=names)
-        firsts = short_prefixes(texts, n) if short else prefixes(texts, n)
-        used = firsts[:, : ORDERS * FILTERS].reshape(len(texts), ORDERS, FILTERS)
-        keys = np.broadcast_to(_SEEDS[100 : 100 + FILTERS], (len(texts), FILTERS)).copy()
-        for o in range(ORDERS):
-            keys = _mix(keys ^ used[:, o, :], _SEEDS[200 + o])
-        bits = ((firsts[:, :128] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)
-        sketch = np.packbits(bits, axis=1).view(np.int64)
-        every = np.repeat(np.array(hashes, np.int64), FILTERS)
-        return pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(every), pa.array(np.repeat(sketch[:, 0], FILTERS)), pa.array(np.repeat(sketch[:, 1], FILTERS))], names=names)
+        if short:
+            found = [(short_prefixes(texts, n), np.array(hashes, np.int64))]
+        else:
+            # a text of up to FEW tokens is like none of more than FEW / 0.7: those between take part in both ways
+            sizes = _distinct(texts, n)
+            found = []
+            for make, on in ((short_prefixes, sizes <= FEW / 0.7), (prefixes, sizes > FEW)):
+                if on.any():
+                    at = np.flatnonzero(on).tolist()
+                    found.append((make([texts[i] for i in at], n), np.array([hashes[i] for i in at], np.int64)))
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for firsts, own in found:
+            used = firsts[:, : ORDERS * FILTERS].reshape(len(own), ORDERS, FILTERS)
+            keys = np.broadcast_to(_SEEDS[100 : 100 + FILTERS], (len(own), FILTERS)).copy()
+            for o in range(ORDERS):
+                keys = _mix(keys ^ used[:, o, :], _SEEDS[200 + o])
+            bits = ((firsts[:, :128] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)
+            sketch = np.packbits(bits, axis=1).view(np.int64)
+            for col, values in zip(cols, (keys.reshape(-1).view(np.int64), *(np.repeat(v, FILTERS) for v in (own, sketch[:, 0], sketch[:, 1]))), strict=True):
+                col.append(values)
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=names)
 
     return work
 

@@ -66,6 +66,20 @@ def test_near_copies_equal_brute_force(spark, n, short, least):
     assert groups == {k: parent.get(k, k) for k, t in rows if k is not None and t is not None and len(t) >= least}
 
 
+def test_near_copies_of_few_tokens(spark):
+    # 17 and 24 distinct sequences: the two texts of a pair share 17 of 24
+    rows, rng = [], random.Random(4)
+    for i in range(400):
+        a = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(17))
+        b = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(7))
+        rows += [(2 * i, a * 12), (2 * i + 1, a * 12 + b)]
+    want = brute_pairs(rows, 8)
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {(r.key_a, r.key_b) for r in nearcopies.NearCopies(df, "id", "text", 8).pairs().collect()}
+    print("found", len(got & want), "of", len(want))
+    assert got == want and len(want) == 400
+
+
 def test_many_copies_are_linked_to_one(spark):
     t, u = prose(60), None
     u = t + " end"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -59,5 +60,14 @@ class Manifest:
             self._fs.delete(hidden, False)
             raise ConflictError(f"sequence {sequence} is taken") from error
 
+    def remove_unused(self, prefix: str, used: set[str], older_than_s: int) -> int:
+        """Delete folders that begin with ``prefix``, are not ``used`` and were not touched for so long."""
+        root, gone = self._path(self.base), 0
+        for s in self._fs.listStatus(root) if self._fs.exists(root) else []:
+            name = s.getPath().getName()
+            if name.startswith(prefix) and name not in used and s.getModificationTime() <= (time.time() - older_than_s) * 1000:
+                gone += self._fs.delete(s.getPath(), True)
+        return gone
+
     def ensure(self, folder: str) -> None:
         self._fs.mkdirs(self._path(f"{self.base}/{folder}"))

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from lodestone.sources.manifest import ConflictError
-from lodestone.streaming import changes
+from lodestone.streaming import changes, incremental
 from lodestone.streaming.incremental import Commit, CommitLog, process
 
 T0 = dt.datetime(2024, 1, 1)
@@ -42,7 +42,52 @@ def test_runs_in_order_with_failures_and_late_rows(spark, tmp_path):
     assert {tuple(r) for r in log.changes().select("run_id", "path").collect()} == {(1, "b"), (3, "a"), (3, "n")}
     assert process(log, a, b, c) is None and log.last() == log.read(2) and log.last().watermark == 3
     with pytest.raises(ConflictError):
-        log.publish(Commit(2, 3, "x", "y"))
+        log.publish(Commit(2, 3, "x", "y", 1, 0))
+    assert log.clean(0) == 1 and log.changes().count() == 3  # what the crash has left
+
+
+def found(log):
+    rows = [tuple(r) for r in log.changes().select("run_id", "path").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_an_open_run_holds_back_later_ones(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    scans = [(1, "a", 2, 2, 11), (2, "a", 3, 3, 21), (2, "b", 1, 1, 21), (3, "b", 2, 2, 31)]
+    for status in ("running", None):
+        a, b, c = tables(spark, scans, [(1, status, None), (2, "ok", 25), (3, "ok", 35)], [("a", 1, 1)])
+        assert process(log, a, b, c) is None and log.changes().count() == 0
+    a, b, c = tables(spark, scans, [(1, "ok", 15), (2, "ok", 25), (3, "open", None)], [("a", 1, 1)])
+    assert process(log, a, b, c).watermark == 2 and found(log) == {(1, "a"), (2, "a"), (2, "b")}
+    a, b, c = tables(spark, scans, [(1, "ok", 15), (2, "ok", 25), (3, "failed", None)], [("a", 1, 1)])
+    assert process(log, a, b, c) is None
+
+
+def test_late_rows_of_a_committed_run_come_out_once(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    runs = [(1, "ok", 15), (2, "ok", 25), (3, "ok", 35)]
+    early = [(1, "a", 2, 2, 11), (2, "a", 2, 2, 21), (2, "c", 1, 1, 21)]
+    a, b, c = tables(spark, early, runs[:2], [("a", 1, 1), ("b", 1, 1)])
+    process(log, a, b, c)
+    late = [*early, (1, "b", 5, 5, 12), (2, "a", 9, 9, 22), (3, "b", 5, 5, 31), (3, "c", 2, 2, 31)]
+    a, b, _ = tables(spark, late, runs, [])
+    process(log, a, b, c)
+    assert found(log) == {(1, "a"), (2, "c"), (1, "b"), (2, "a"), (3, "c")}
+    assert process(log, a, b, c) is None
+    assert {tuple(r) for r in log.state().collect()} == {("a", 9, 9), ("b", 5, 5), ("c", 2, 2)}
+
+
+def test_state_is_written_anew_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 2)
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    scans = [(r, p, r // n, 1, r * 10 + 1) for r in range(1, 6) for n, p in ((1, "a"), (2, "b"))]
+    for r in range(1, 6):
+        a, b, c = tables(spark, scans, [(x, "ok", x * 10 + 5) for x in range(1, r + 1)], [("a", 0, 1), ("b", 0, 1), ("z", None, 1)])
+        process(log, a, b, c)
+    assert found(log) == {*((r, "a") for r in range(1, 6)), (2, "b"), (4, "b")}
+    assert len({log.read(s).base for s in log.sequences()}) == 3
+    assert {tuple(r) for r in log.state().collect()} == {("a", 5, 1), ("b", 2, 1), ("z", None, 1)}
 
 
 def test_empty_tables(spark, tmp_path):

@@ -2,7 +2,8 @@
 
 A window function puts a whole group into one task. Here rows are range-partitioned by group *and* order, each
 partition ranks its own part of a group, and the numbers of rows in the partitions before it are added. A group that
-holds a third of all rows is spread over many tasks.
+holds a third of all rows is spread over many tasks. Where ties share a place, equal rows are counted first and only
+distinct values are ranked, so a value that most rows have (nulls, say) is one row as well.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ def grouped_rank(df: DataFrame, by: list[str], order: list[tuple[str, str]], out
     """
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.select("*", *[F.expr(e).alias(n) for n, (e, _) in zip(names, order, strict=True)])
+    rows = keyed.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__n")) if ties else keyed.withColumn("__n", F.lit(1))
     sort_cols = [*[F.col(c).asc_nulls_first() for c in by], *[_by(n, d) for n, (_, d) in zip(names, order, strict=True)]]
-    ranged = cut(keyed.repartitionByRange(*sort_cols).withColumn("__part", F.spark_partition_id()))
-    sizes = ranged.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"))
+    ranged = cut(rows.repartitionByRange(*sort_cols).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part", *by).agg(F.sum("__n").alias("__n"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("__part").alias("__p"),
@@ -33,13 +35,20 @@ def grouped_rank(df: DataFrame, by: list[str], order: list[tuple[str, str]], out
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
     ).where("__before > 0")
     inside = Window.partitionBy("__part", *by).orderBy(*[_by(n, d) for n, (_, d) in zip(names, order, strict=True)])
-    local = ranged.withColumn("__local", F.rank().over(inside) if ties else F.row_number().over(inside))
+    local = ranged.withColumn("__local", F.coalesce(F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     match = F.col("__part") == F.col("__p")
     for i, c in enumerate(by):
         match &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
     joined = local.join(offsets, match, "left")
-    place = (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("bigint")
-    return joined.select(*df.columns, place.alias(out))
+    place = (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(out)
+    if not ties:
+        return joined.select(*df.columns, place)
+    places = joined.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], *[F.col(n).alias(f"__v{n}") for n in names], place)
+    same = None
+    for left, right in [*[(c, f"__g{i}") for i, c in enumerate(by)], *[(n, f"__v{n}") for n in names]]:
+        one = F.col(left).eqNullSafe(F.col(right))
+        same = one if same is None else same & one
+    return keyed.join(places, same).select(*df.columns, out)
 
 
 def _by(name: str, direction: str) -> Column:

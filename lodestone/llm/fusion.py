@@ -15,7 +15,7 @@ def best_scores(df: DataFrame, scores: list[str], query: str = "query_id", item:
     return rows.groupBy(query, item).agg(*best)
 
 
-def fuse(df: DataFrame, scores: list[str], query: str = "query_id", item: str = "document_id", constant: int = 60, final: bool = True) -> DataFrame:
+def fuse(df: DataFrame, scores: list[str], query: str = "query_id", item: str = "document_id", constant: int = 60) -> DataFrame:
     """``query, item, place_<score>..., place_sum, rrf, rank``: every item of every query, ranked by the fused score.
 
     An item's place in a score is 1 + the number of items of its query with a higher value; null is below all values,
@@ -35,10 +35,9 @@ def fuse(df: DataFrame, scores: list[str], query: str = "query_id", item: str =
         sum(places[1:], places[0]).alias("place_sum"),
         F.round(sum((F.lit(1.0) / (constant + p) for p in places[1:]), F.lit(1.0) / (constant + places[0])), 12).alias("rrf"),
     )
-    return grouped_rank(fused, [query], [("rrf", "desc"), ("place_sum", "asc"), (f"`{item}`", "asc")], "rank", ties=False) if final else fused
+    return grouped_rank(fused, [query], [("rrf", "desc"), ("place_sum", "asc"), (f"`{item}`", "asc")], "rank", ties=False)
 
 
 def first_of_each(fused: DataFrame, query: str = "query_id", item: str = "document_id") -> DataFrame:
-    """The item of each query with the smallest sum of places (then the higher fused score, then the item)."""
-    best = F.min(F.struct("place_sum", (-F.col("rrf")).alias("r"), F.col(item).alias("i")))
-    return fused.groupBy(query).agg(best.alias("b")).select(query, F.col("b.i").alias(item))
+    """The first item of each query's fused ranking."""
+    return fused.where("rank = 1").select(query, item)

@@ -54,7 +54,7 @@ def p3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.first_of_each(fusion.fuse(table(spark, sf_dir, "candidates"), ["keyword", "semantic"], final=False))
+    return fusion.first_of_each(fusion.fuse(table(spark, sf_dir, "candidates"), ["keyword", "semantic"]))
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ fused AS (
 """
 P4_FOUND = P4_PLACES + """
 SELECT query_id, document_id FROM (
-  SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY place_sum, rrf DESC, document_id) AS n FROM fused)
+  SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, place_sum, document_id) AS n FROM fused)
 WHERE n = 1
 """
 P4_RANKING = P4_PLACES + """
@@ -144,7 +144,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), p9_leaks(spark, sf_dir))
+    return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), p9_leaks(spark, sf_dir))
 
 
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,8 +199,8 @@ def test_fusion_equals_brute_force(spark):
     for q in (1, 2):
         ranks = sorted((r.rank, r.rrf) for r in got if r.query_id == q)
         assert [r for r, _ in ranks] == list(range(1, len(ranks) + 1)) and all(a >= b for (_, a), (_, b) in itertools.pairwise(ranks))
-    first = {r.query_id: r.document_id for r in fusion.first_of_each(fusion.fuse(df, ["keyword", "semantic"], final=False)).collect()}
-    assert all(sum(want[q, d][:2]) == min(sum(v[:2]) for (r, _), v in want.items() if r == q) for q, d in first.items())
+    first = {r.query_id: r.document_id for r in fusion.first_of_each(fusion.fuse(df, ["keyword", "semantic"])).collect()}
+    assert all(want[q, d][2] == max(v[2] for (r, _), v in want.items() if r == q) for q, d in first.items())
     assert fusion.fuse(df.limit(0), ["keyword", "semantic"]).count() == 0
 
 

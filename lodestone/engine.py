@@ -140,12 +140,15 @@ class SearchEngine:
         parts = parts.select(F.xxhash64("document_id", "position").alias("id"), "document_id", "position", "text")
         fresh = search.clean_chunks(parts)
         vectors = self._timed("embed", lambda: search.hashed_chunk_vectors(fresh, names))
-        means = vectors.groupBy("document_id", "extension", "bucket").agg(F.sum("v").alias("s"))
-        norms = means.groupBy("document_id").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("n"))
-        own = means.join(norms, "document_id").select("document_id", "extension", "bucket", (F.col("s") / F.col("n")).alias("v"))
-        entries = F.map_from_entries(F.collect_list(F.struct("bucket", "v")))
+        each = vectors.select("document_id", "extension", F.explode(F.arrays_zip("buckets", "weights")).alias("e"))
+        sums = each.groupBy("document_id", "extension", F.col("e.buckets").alias("b")).agg(F.sum("e.weights").alias("s"))
+        own = sums.groupBy("document_id", "extension").agg(F.array_sort(F.collect_list(F.struct("b", "s"))).alias("m"))
+        norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda t, x: t + x["s"] * x["s"]))
+        own = own.select("document_id", "extension", F.transform("m", lambda x: x["b"]).alias("buckets"), "m", norm.alias("n"))
+        own = own.select("document_id", "extension", "buckets", F.transform("m", lambda x: x["s"] / F.col("n")).alias("weights"))
+        entries = F.map_from_arrays("buckets", "weights").alias("m")
         dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at(F.col("m"), b), F.lit(0.0)).cast("float"))
-        embedded = own.groupBy(F.col("document_id").alias("id")).agg(entries.alias("m")).select("id", dense.alias("embedding"))
+        embedded = own.select(F.col("document_id").alias("id"), entries).select("id", dense.alias("embedding"))
         new = prepared.drop("chunks").join(embedded, "id", "left").withColumn("indexed_at", now)
         out = gone.select("id").unionByName(prepared.select("id")).distinct()
         owners = out.withColumnRenamed("id", "document_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import terms
@@ -37,17 +37,26 @@ def term_bucket(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % BUCKETS
 
 
-def hashed_features(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys, bucket, v``: the text's terms hashed into buckets, even ones counted up and odd ones down, length 1.
+def sparse_features(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """``keys, buckets, weights``: the text's terms hashed into buckets, even ones counted up and odd ones down, length 1.
 
-    The sparse form of a hashed bag-of-terms embedding: buckets without terms have no row, nor has a text without
-    terms. ``keys`` must tell the rows apart; terms are counted before they are shuffled.
+    The sparse form of a hashed bag-of-terms embedding, one row a text: buckets in their order, those without terms left
+    out; a text without terms has no row. Everything is counted inside the row, so nothing is shuffled.
     """
-    each = df.select(*keys, F.explode(terms(text)).alias("__t")).select(*keys, term_bucket(F.col("__t")).cast("int").alias("bucket"))
-    counts = each.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).cast("double").alias("__c"))
-    sign = F.when(F.col("bucket") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    norm = F.sqrt(F.sum(F.col("__c") * F.col("__c")).over(Window.partitionBy(*keys)))
-    return counts.select(*keys, "bucket", (sign * F.col("__c") / norm).alias("v"))
+    sorted_ = df.select(*keys, F.array_sort(F.transform(terms(text), lambda t: term_bucket(t).cast("int"))).alias("__b")).where(F.size("__b") > 0)
+    at = F.filter(F.sequence(F.lit(0), F.size("__b") - 1), lambda i: (i == 0) | (F.get("__b", i) != F.get("__b", i - 1)))
+    runs = sorted_.select(*keys, "__b", at.alias("__at"))
+    ends = F.concat(F.slice("__at", F.lit(2), F.size("__at")), F.array(F.size("__b")))
+    counted = runs.select(*keys, F.transform("__at", lambda i: F.get("__b", i)).alias("buckets"), F.zip_with("__at", ends, lambda a, b: (b - a).cast("double")).alias("__c"))
+    norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda s, x: s + x * x))
+    sized = counted.select(*keys, "buckets", "__c", norm.alias("__n"))
+    return sized.select(*keys, "buckets", F.zip_with("buckets", "__c", lambda b, c: F.when(b % 2 == 0, c).otherwise(-c) / F.col("__n")).alias("weights"))
+
+
+def hashed_features(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """``keys, bucket, v``: the same with a row for every bucket."""
+    rows = sparse_features(df, keys, text)
+    return rows.select(*keys, F.explode(F.arrays_zip("buckets", "weights")).alias("__e")).select(*keys, F.col("__e.buckets").alias("bucket"), F.col("__e.weights").alias("v"))
 
 
 def mean_vectors(df: DataFrame, by: str, vector: str, dimensions: int) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.vectors import clamp, hashed_features
+from lodestone.functions.vectors import BUCKETS, sparse_features
 from lodestone.operators import keyword
+from lodestone.operators import vectors as exact
 from lodestone.operators.chunking import embedding_text, sample_chunks
 from lodestone.operators.ranking import grouped_rank
 
@@ -20,14 +21,14 @@ SEMANTIC_SHARE, LEXICAL_SHARE = 0.72, 0.28
 KEYWORD_BONUS, KEYWORD_SHARE, CALIBRATED_SHARE, NAME_BOOST = 0.18, 0.62, 0.38, 0.20
 LEAST_NORM = 1.1920929e-07
 FEWEST, MOST, TIMES, MOST_RESULTS, DEFAULT_RESULTS = 200, 1000, 20, 100, 20
-#: Requests that are compared with all names at a time; more are handled in blocks.
-BLOCK = 5_000
+#: Up to so many requests are compared with each name in one scan; more meet the names over sequences of ``GRAM`` characters.
+FEW_REQUESTS, GRAM = 32, 4
 
 
 @dataclass(frozen=True)
 class Index:
-    """What searches read. ``vectors``: ``chunk_id, document_id, extension, bucket, v``; ``document_vectors`` the same
-    without ``chunk_id``; both sparse and of length 1."""
+    """What searches read. ``vectors``: ``chunk_id, document_id, extension, buckets, weights``; ``document_vectors`` the
+    same without ``chunk_id``; both sparse and of length 1."""
 
     documents: DataFrame
     chunks: DataFrame
@@ -61,7 +62,7 @@ def sampled(chunks: DataFrame) -> DataFrame:
 def hashed_chunk_vectors(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Hashed vectors of the sampled chunks of every document."""
     named = sampled(chunks).join(documents.select(F.col("id").alias("document_id"), "name", "extension"), "document_id")
-    return hashed_features(named, ["chunk_id", "document_id", "extension"], embedding_text(F.col("name"), F.col("text")))
+    return sparse_features(named, ["chunk_id", "document_id", "extension"], embedding_text(F.col("name"), F.col("text")))
 
 
 def build_index(documents: DataFrame, chunks: DataFrame) -> Index:
@@ -84,55 +85,67 @@ def clean_requests(requests: DataFrame) -> DataFrame:
 
 
 def keyword_candidates(requests: DataFrame, index: Index) -> DataFrame:
-    """``query_id, document_id, k, kw_text``: each document's best chunk among the best hits of the whole index.
+    """``query_id, document_id, k, kw_chunk``: each document's best chunk among the best hits of the whole index.
 
     Scores are set against the best hit before the extension filter is applied.
     """
     hits = keyword.top_hits(keyword.bm25(requests, index.postings), MOST).join(requests.select("query_id", "budget", "ext"), "query_id").where("place <= budget")
     best = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(LEAST_NORM))
-    normed = hits.select("query_id", "chunk_id", "ext", "place", F.least(F.col("score") / best, F.lit(1.0)).alias("k"))
-    texts = normed.join(index.chunks.select("chunk_id", "document_id", "text"), "chunk_id")
-    kept = texts.join(index.documents.select(F.col("id").alias("document_id"), "extension"), "document_id").where("ext is null or extension = ext")
-    top = F.max(F.struct("k", (-F.col("place")).alias("p"), "text")).alias("b")
-    return kept.groupBy("query_id", "document_id").agg(top).select("query_id", "document_id", F.col("b.k").alias("k"), F.col("b.text").alias("kw_text"))
+    normed = hits.select("query_id", "chunk_id", "document_id", "ext", "place", F.least(F.col("score") / best, F.lit(1.0)).alias("k"))
+    kept = normed.join(index.documents.select(F.col("id").alias("document_id"), "extension"), "document_id").where("ext is null or extension = ext")
+    top = F.max(F.struct("k", (-F.col("place")).alias("p"), "chunk_id")).alias("b")
+    return kept.groupBy("query_id", "document_id").agg(top).select("query_id", "document_id", F.col("b.k").alias("k"), F.col("b.chunk_id").alias("kw_chunk"))
 
 
 def semantic_candidates(requests: DataFrame, index: Index) -> DataFrame:
-    """``query_id, document_id, sim, vec_text``: each document's most similar chunk.
+    """``query_id, document_id, sim, vec_chunk``: each document's most similar chunk.
 
     The extension is filtered before the best are taken. Only for requests whose extension has no chunk vector at all
-    the documents' own vectors are used, without a text.
+    the documents' own vectors are used, without a chunk.
     """
     asked = requests.where("mode <> 'keyword'")
-    query = hashed_features(asked.select("query_id", "query", "ext", "budget"), ["query_id", "ext", "budget"], F.col("query"))
-    rows = query.select("query_id", "ext", "budget", "bucket", F.col("v").alias("q")).join(index.vectors, "bucket").where("ext is null or extension = ext")
-    sims = rows.groupBy("query_id", "budget", "chunk_id", "document_id").agg(F.round(clamp(F.sum(F.col("q") * F.col("v"))), 6).alias("sim"))
-    hits = keyword.top_hits(sims, MOST, "sim").where(f"place <= budget and sim >= {SEMANTIC_FLOOR}D")
-    texts = hits.join(index.chunks.select("chunk_id", "text"), "chunk_id")
-    top = F.max(F.struct("sim", (-F.col("place")).alias("p"), "text")).alias("b")
-    found = texts.groupBy("query_id", "document_id").agg(top).select("query_id", "document_id", F.col("b.sim").alias("sim"), F.col("b.text").alias("vec_text"))
+    query = sparse_features(asked.select("query_id", "query", "ext", "budget"), ["query_id", "ext", "budget"], F.col("query"))
+    sims = exact.sparse_top_k(query, index.vectors.withColumnRenamed("chunk_id", "id"), "document_id", BUCKETS, SEMANTIC_FLOOR)
+    hits = keyword.top_hits(sims, MOST, "sim", "id").where("place <= budget")
+    top = F.max(F.struct("sim", (-F.col("place")).alias("p"), "id")).alias("b")
+    found = hits.groupBy("query_id", "document_id").agg(top).select("query_id", "document_id", F.col("b.sim").alias("sim"), F.col("b.id").alias("vec_chunk"))
     if index.document_vectors is None:
         return found
     present = index.vectors.select("extension").distinct()
     without = query.where("ext is not null").join(present, F.col("ext") == F.col("extension"), "left_anti")
-    rows = without.select("query_id", "ext", "budget", "bucket", F.col("v").alias("q")).join(index.document_vectors, "bucket").where("extension = ext")
-    sims = rows.groupBy("query_id", "budget", "document_id").agg(F.round(clamp(F.sum(F.col("q") * F.col("v"))), 6).alias("sim")).where(f"sim > {DOCUMENT_FLOOR}D")
-    own = keyword.top_hits(sims, MOST, "sim", "document_id").where(f"place <= budget and sim >= {SEMANTIC_FLOOR}D")
-    return found.unionByName(own.select("query_id", "document_id", "sim", F.lit(None).cast("string").alias("vec_text")))
+    own = index.document_vectors.withColumn("id", F.col("document_id"))
+    sims = exact.sparse_top_k(without, own, "document_id", BUCKETS, max(DOCUMENT_FLOOR, SEMANTIC_FLOOR))
+    more = keyword.top_hits(sims, MOST, "sim", "document_id").where("place <= budget")
+    return found.unionByName(more.select("query_id", "document_id", "sim", F.lit(None).cast("bigint").alias("vec_chunk")))
+
+
+def _grams(text: Column) -> Column:
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM))))
 
 
 def name_matches(requests: DataFrame, documents: DataFrame) -> DataFrame:
-    """``query_id, document_id``: the stated queries against all names, in blocks of ``BLOCK`` queries."""
+    """``query_id, document_id``: the stated queries against all names.
+
+    A few requests are looked for in every name during one scan. Many are joined with the names over their rarest
+    sequence of ``GRAM`` characters and then compared; requests shorter than that are looked for in every name.
+    """
     rows = requests.select("query_id", "query", "ext")
-    passes = max(1, -(-rows.count() // BLOCK))
     names = documents.select(F.col("id").alias("document_id"), "name", "extension")
-    out = None
-    for i in range(passes):
-        block = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        hit = T.contains(F.col("name"), F.col("query")) & (F.col("ext").isNull() | (F.col("extension") == F.col("ext")))
-        part = names.join(F.broadcast(block), hit).select("query_id", "document_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    hit = T.contains(F.col("name"), F.col("query")) & (F.col("ext").isNull() | (F.col("extension") == F.col("ext")))
+    short = F.char_length(F.lower("query")) < GRAM
+    total, shorts = rows.agg(F.count(F.lit(1)), F.count_if(short)).first()
+    if total <= FEW_REQUESTS:
+        return names.join(F.broadcast(rows), hit).select("query_id", "document_id")
+    named = names.where(F.char_length(F.lower("name")) >= GRAM).select("*", F.explode(_grams(F.col("name"))).alias("gram"))
+    asked = rows.where(~short).select("*", F.explode(_grams(F.col("query"))).alias("gram"))
+    sizes = named.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
+    chosen = asked.join(sizes, "gram", "left").groupBy("query_id", "query", "ext").agg(rare)
+    found = named.join(chosen, "gram").where(hit).select("query_id", "document_id")
+    if shorts:
+        found = found.unionByName(names.join(rows.where(short), hit).select("query_id", "document_id"))
+    return found
 
 
 def search(requests: DataFrame, index: Index) -> DataFrame:
@@ -142,8 +155,8 @@ def search(requests: DataFrame, index: Index) -> DataFrame:
     together by one aggregation; scores have 6 decimals before they are compared and ordered, ties go by document.
     """
     asked = clean_requests(requests)
-    none = {"k": F.lit(None).cast("double"), "kw_text": F.lit(None).cast("string"), "sim": F.lit(None).cast("double"), "vec_text": F.lit(None).cast("string")}
-    cols = ["query_id", "document_id", "k", "kw_text", "sim", "vec_text"]
+    none = {"k": F.lit(None).cast("double"), "kw_chunk": F.lit(None).cast("bigint"), "sim": F.lit(None).cast("double"), "vec_chunk": F.lit(None).cast("bigint")}
+    cols = ["query_id", "document_id", *none]
     parts = [
         keyword_candidates(asked, index),
         semantic_candidates(asked, index),
@@ -154,7 +167,8 @@ def search(requests: DataFrame, index: Index) -> DataFrame:
         p = p.select(*[c if c in p.columns else none[c].alias(c) for c in cols])
         every = p if every is None else every.unionByName(p)
     one = every.groupBy("query_id", "document_id").agg(*[F.max(c).alias(c) for c in cols[2:]])
-    rows = one.join(asked, "query_id").join(index.documents.withColumnRenamed("id", "document_id"), "document_id")
+    texts = index.chunks.select(F.col("chunk_id").alias("vec_chunk"), F.col("text").alias("vec_text"))
+    rows = one.join(asked, "query_id").join(index.documents.withColumnRenamed("id", "document_id"), "document_id").join(texts, "vec_chunk", "left")
     k, sim = F.coalesce("k", F.lit(0.0)), F.coalesce("sim", F.lit(0.0))
     lexical = T.coverage(F.col("query"), F.concat_ws(" ", "name", F.coalesce("vec_text", "name")))
     calibrated = SEMANTIC_SHARE * sim + LEXICAL_SHARE * lexical
@@ -162,12 +176,16 @@ def search(requests: DataFrame, index: Index) -> DataFrame:
     mode = F.col("mode")
     base = F.when(mode == "keyword", k).when(mode == "semantic", calibrated + KEYWORD_BONUS * k).otherwise(KEYWORD_SHARE * k + CALIBRATED_SHARE * calibrated)
     floor = F.when(mode == "keyword", THRESHOLDS["keyword"]).when(mode == "semantic", THRESHOLDS["semantic"]).otherwise(THRESHOLDS["hybrid"])
-    hybrid_text = F.when(sim > k, F.coalesce("vec_text", "kw_text")).otherwise(F.coalesce("kw_text", "vec_text"))
-    text = F.when(mode == "keyword", F.col("kw_text")).when(mode == "semantic", F.coalesce("vec_text", "kw_text")).otherwise(hybrid_text)
-    scored = rows.withColumn("raw", F.round(base + boost, 6)).where(F.col("raw") >= floor).withColumn("text", F.coalesce(text, F.col("kw_text")))
+    hybrid = F.when(sim > k, F.coalesce("vec_chunk", "kw_chunk")).otherwise(F.coalesce("kw_chunk", "vec_chunk"))
+    wanted = F.when(mode == "keyword", F.col("kw_chunk")).when(mode == "semantic", F.coalesce("vec_chunk", "kw_chunk")).otherwise(hybrid)
+    scored = rows.withColumn("raw", F.round(base + boost, 6)).where(F.col("raw") >= floor).withColumn("wanted", F.coalesce(wanted, F.col("kw_chunk")))
     order = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), "document_id")
-    kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_RESULTS).where("rank <= most")
-    first = index.chunks.groupBy("document_id").agg(F.min_by("text", F.struct("position", "chunk_id")).alias("first_text"))
-    shown = kept.join(first, "document_id", "left")
-    final = F.coalesce("text", "first_text", F.lit(""))
-    return shown.select("query_id", "rank", "document_id", "name", "path", "extension", "modified_ms", "size", T.snippet(final, F.col("query")).alias("snippet"), F.round(F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)), 2).alias("score"))
+    cols = ["query_id", "rank", "document_id", "name", "path", "extension", "modified_ms", "size"]
+    kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_RESULTS).where("rank <= most").select(*cols, "query", "raw", "wanted")
+    # the chosen chunk's text, or the first of a document that has none: read for the winners only
+    held = index.chunks.select(F.col("document_id").alias("owner"), "chunk_id", "position", "text")
+    own = (F.col("document_id") == F.col("owner")) & (F.col("wanted").isNull() | (F.col("wanted") == F.col("chunk_id")))
+    first = F.min_by("text", F.struct("position", "chunk_id")).alias("text")
+    shown = kept.join(held, own, "left").groupBy(*kept.columns).agg(first)
+    snippet = T.snippet(F.coalesce("text", F.lit("")), F.col("query")).alias("snippet")
+    return shown.select(*cols, snippet, F.round(F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)), 2).alias("score"))

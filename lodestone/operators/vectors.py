@@ -60,3 +60,59 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = Non
         out = out.where(F.col("sim") > floor if strict else F.col("sim") >= floor)
     order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The flat values of a list column and the row each belongs to."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
+
+
+def _scatter(batch: pa.RecordBatch | pa.Table, dimensions: int) -> np.ndarray:
+    buckets, at = _rows_of(batch.column("buckets"))
+    out = np.zeros((batch.num_rows, dimensions))
+    out[at, buckets] = batch.column("weights").flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def sparse_top_k(queries: DataFrame, rows: DataFrame, owner: str, dimensions: int, floor: float, strict: bool = False) -> DataFrame:
+    """``query_id, budget, id, <owner>, sim``: at least the ``budget`` rows with the largest products for each query.
+
+    ``queries``: ``query_id, ext, budget, buckets, weights``; ``rows``: ``id, <owner>, extension, buckets, weights``. Only
+    rows of the query's extension (if it has one) and with a product of at least ``floor`` (``strict``: above it); 6
+    decimals. One matrix product a batch, of which each query's own best ``budget`` rows go on; queries go to every task
+    in passes of ``PASS``.
+    """
+    passes = max(1, -(-queries.count() // PASS))
+    data = rows.select("id", owner, "extension", "buckets", "weights")
+    kind = dict(rows.dtypes)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, budget int, id {kind['id']}, owner string, sim double"
+    out = None
+    for i in range(passes):
+        part = (queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)).toArrow().combine_chunks()
+        asked = _scatter(part.to_batches()[0], dimensions) if part.num_rows else np.zeros((0, dimensions))
+        sent = rows.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy(), part.column("ext").to_pylist(), part.column("budget").to_numpy(), asked))
+
+        def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            names, exts, budgets, asked = sent.value
+            wanted = {e: np.array([x is None or x == e for x in exts]) for e in set(exts) if e is not None}
+            anywhere = np.array([x is None for x in exts], bool)
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(begin, 4096)
+                    sims = np.round(np.maximum(asked @ _scatter(batch, dimensions).T, 0.0), 6)
+                    good = sims > floor if strict else sims >= floor
+                    if not anywhere.all():
+                        good &= np.stack([wanted.get(e, anywhere) for e in batch.column("extension").to_pylist()], axis=1)
+                    ids = batch.column("id")
+                    for q in np.flatnonzero(good.sum(1) > budgets):
+                        at = np.flatnonzero(good[q])
+                        rest = pc.sort_indices(pa.table({"s": -sims[q, at], "i": ids.take(pa.array(at))}), [("s", "ascending"), ("i", "ascending")]).to_numpy()[budgets[q] :]
+                        good[q, at[rest]] = False
+                    q, r = np.nonzero(good)
+                    if len(q):
+                        yield pa.record_batch([pa.array(names[q]), pa.array(budgets[q], pa.int32()), ids.take(pa.array(r)), batch.column(owner).take(pa.array(r)), pa.array(sims[q, r])], names=["query_id", "budget", "id", "owner", "sim"])
+
+        found = data.mapInArrow(nearest, schema)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumnRenamed("owner", owner)

@@ -17,8 +17,8 @@ TABLES = {
     "directories": "path string",
     "documents": "id string, root string, path string, name string, extension string, modified_ms bigint, size bigint, embedding array<float>, indexed_at timestamp",
     "chunks": "id bigint, document_id string, position int, text string",
-    "vectors": "chunk_id bigint, document_id string, extension string, bucket int, v double",
-    "document_vectors": "document_id string, extension string, bucket int, v double",
+    "vectors": "chunk_id bigint, document_id string, extension string, buckets array<int>, weights array<double>",
+    "document_vectors": "document_id string, extension string, buckets array<int>, weights array<double>",
     "postings": "term string, chunk_id bigint, document_id string, tf int, dl int",
     "lengths": "chunk_id bigint, document_id string, dl int",
     "failures": "path string, category string, reason string, updated_at timestamp",

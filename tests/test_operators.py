@@ -72,6 +72,15 @@ def test_top_k_with_vectors_of_several_lengths(spark):
     assert got == [(0, 1, 1.0), (0, 2, 0.6), (1, 2, 0.8), (1, 1, 0.0), (2, 10, 1.0), (2, 11, 1.0)]
 
 
+def test_names_by_sequences_equal_the_scan(spark, monkeypatch):
+    docs = spark.createDataFrame([("1", "Budget 2024 final", "txt"), ("2", "budgets", "pdf"), ("3", None, "txt"), ("4", "预算报告终稿", "txt"), ("5", "ab", "txt"), ("6", "", "txt")], "id string, name string, extension string")
+    req = spark.createDataFrame([(1, "BUDGET", None), (2, "预算报告", None), (3, "b", None), (4, "budget", "pdf"), (5, "get 2024", "txt"), (6, "nothing", None)], "query_id int, query string, ext string")
+    want = {(1, "1"), (1, "2"), (2, "4"), (3, "1"), (3, "2"), (3, "5"), (4, "2"), (5, "1")}
+    assert {tuple(r) for r in search.name_matches(req, docs).collect()} == want
+    monkeypatch.setattr(search, "FEW_REQUESTS", 0)
+    assert {tuple(r) for r in search.name_matches(req, docs).collect()} == want
+
+
 def test_roots_and_prefixes(spark):
     paths = spark.createDataFrame([("/a/b/c.txt",), ("/a/bc/d.txt",), ("/x",), ("/a/b",)], "path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/",)], "path string")
@@ -100,8 +109,8 @@ def test_failures_and_settings(spark):
 def test_document_vectors_only_without_any_chunk_vector(spark):
     docs = spark.createDataFrame([("d1", "/p", "one", 1, 1, "txt"), ("d2", "/q", "two", 1, 1, "pdf")], "id string, path string, name string, modified_ms bigint, size bigint, extension string")
     chunks = spark.createDataFrame([(1, "d1", 0, "alpha beta")], "chunk_id bigint, document_id string, position int, text string")
-    vec = V.hashed_features(spark.createDataFrame([(1, "d1", "txt", "gamma")], "chunk_id bigint, document_id string, extension string, t string"), ["chunk_id", "document_id", "extension"], F.col("t"))
-    own = V.hashed_features(spark.createDataFrame([("d1", "txt", "delta"), ("d2", "pdf", "delta")], "document_id string, extension string, t string"), ["document_id", "extension"], F.col("t"))
+    vec = V.sparse_features(spark.createDataFrame([(1, "d1", "txt", "gamma")], "chunk_id bigint, document_id string, extension string, t string"), ["chunk_id", "document_id", "extension"], F.col("t"))
+    own = V.sparse_features(spark.createDataFrame([("d1", "txt", "delta"), ("d2", "pdf", "delta")], "document_id string, extension string, t string"), ["document_id", "extension"], F.col("t"))
     index = search.Index(docs, chunks, keyword.build_postings(chunks, docs), vec, own)
     req = spark.createDataFrame([(1, "delta", "semantic", "pdf", 5), (2, "delta", "semantic", "txt", 5), (3, "  ", "hybrid", None, 5)], "query_id bigint, query string, search_mode string, extension string, max_results int")
     got = search.search(req, index).collect()

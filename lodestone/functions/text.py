@@ -70,11 +70,28 @@ def index_pieces(text: Column) -> Column:
     return F.filter(pieces, lambda p: (p != "") & (F.octet_length(p) < LONGEST_PIECE))
 
 
+def asked_terms(query: Column) -> Column:
+    """The terms of a query that its coverage counts: words and pairs, of two characters and more."""
+    return F.filter(terms(query), lambda t: F.char_length(t) >= 2)
+
+
+def coverage_of(asked: Column, text: Column) -> Column:
+    """The share of ``asked`` (terms of two characters and more) that the text has; 0 if nothing is asked.
+
+    Nothing is cut out of the text: a pair is looked for as it is, a word between the ends of words.
+    """
+    low = F.lower(text)
+    words = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9_]+", " "), F.lit(" "))
+    held = F.transform(  # once for the row, not for every term
+        F.array(F.struct(low.alias("low"), words.alias("words"))),
+        lambda x: F.size(F.filter(asked, lambda t: F.when(F.rlike(t, F.lit("^[a-z0-9_]")), F.contains(x["words"], F.concat(F.lit(" "), t, F.lit(" ")))).otherwise(F.contains(x["low"], t)))),
+    )
+    return F.when(F.size(asked) > 0, F.get(held, F.lit(0)) / F.size(asked).cast("double")).otherwise(F.lit(0.0))
+
+
 def coverage(query: Column, text: Column) -> Column:
     """The share of the query's terms (of two characters and more) that the text has; 0 for a query without any."""
-    asked = F.filter(terms(query), lambda t: F.char_length(t) >= 2)
-    held = F.filter(terms(text), lambda t: F.char_length(t) >= 2)
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, held)) / F.size(asked).cast("double")).otherwise(F.lit(0.0))
+    return coverage_of(asked_terms(query), text)
 
 
 def contains(name: Column, query: Column) -> Column:

@@ -13,6 +13,8 @@ from lodestone.functions import text as T
 NAME_WEIGHT, BODY_WEIGHT = 3, 1
 K1, B = 1.2, 0.75
 MOST_HITS = 2000
+#: Up to so many different terms a search names them to the scan; more are joined.
+MOST_TERMS = 2_000
 
 
 @dataclass(frozen=True)
@@ -22,8 +24,13 @@ class Postings:
     terms: DataFrame
     lengths: DataFrame
 
+    def by_term(self) -> Postings:
+        """The same with the terms in their order, so that a search reads only the parts that hold its terms."""
+        return Postings(self.terms.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), self.lengths)
+
     def cached(self) -> Postings:
-        return Postings(self.terms.cache(), self.lengths.cache())
+        ordered = self.by_term()
+        return Postings(ordered.terms.cache(), ordered.lengths.cache())
 
 
 def build_postings(chunks: DataFrame, documents: DataFrame) -> Postings:
@@ -92,11 +99,15 @@ def search_terms(requests: DataFrame) -> DataFrame:
 def bm25(requests: DataFrame, postings: Postings) -> DataFrame:
     """``query_id, chunk_id, document_id, score``: every chunk with a term of the query; 4 decimals.
 
-    The asked terms select the postings by an equi-join (broadcast by the optimiser when they are few); a chunk's parts
-    of the score are summed before they are shuffled.
+    The asked terms are a filter of the scan, which passes over what does not hold them where postings are ordered by
+    term; very many are joined instead. A chunk's parts of the score are summed before they are shuffled.
     """
     asked = search_terms(requests)
-    wanted = postings.terms.join(asked.select("term").distinct(), "term", "left_semi")
+    known = [r[0] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(known) <= MOST_TERMS:
+        wanted = postings.terms.where(F.col("term").isin(known))
+    else:
+        wanted = postings.terms.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = asked.join(wanted, "term").join(frequency, "term").join(F.broadcast(statistics(postings)))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

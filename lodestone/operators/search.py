@@ -23,6 +23,8 @@ LEAST_NORM = 1.1920929e-07
 FEWEST, MOST, TIMES, MOST_RESULTS, DEFAULT_RESULTS = 200, 1000, 20, 100, 20
 #: Up to so many requests are compared with each name in one scan; more meet the names over sequences of ``GRAM`` characters.
 FEW_REQUESTS, GRAM = 32, 4
+#: Up to so many requests are held by the driver, so that joins with them are broadcast; more stay a distributed table.
+LOCAL = 10_000
 
 
 @dataclass(frozen=True)
@@ -81,23 +83,35 @@ def clean_requests(requests: DataFrame) -> DataFrame:
         F.nullif(F.col("extension"), F.lit("")).alias("ext"),
         most.alias("most"),
         F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), most * TIMES)).alias("budget"),
+        T.asked_terms(F.col("query")).alias("asked"),
     )
 
 
-def keyword_candidates(requests: DataFrame, index: Index) -> DataFrame:
+def _held(requests: DataFrame) -> tuple[DataFrame, set[str], bool]:
+    """The cleaned requests (by the driver if they are not too many), the modes they have, and whether any has an extension."""
+    first = requests.limit(LOCAL + 1).toArrow()
+    if first.num_rows > LOCAL:
+        return requests, {"keyword", "semantic", "hybrid"}, True
+    local = requests.sparkSession.createDataFrame(first) if first.num_rows else requests.limit(0)
+    return local, set(first.column("mode").to_pylist()), first.column("ext").null_count < first.num_rows
+
+
+def keyword_candidates(requests: DataFrame, index: Index, filtered: bool = True) -> DataFrame:
     """``query_id, document_id, k, kw_chunk``: each document's best chunk among the best hits of the whole index.
 
-    Scores are set against the best hit before the extension filter is applied.
+    Scores are set against the best hit before the extension filter is applied (``filtered``: any request has one).
     """
     hits = keyword.top_hits(keyword.bm25(requests, index.postings), MOST).join(requests.select("query_id", "budget", "ext"), "query_id").where("place <= budget")
     best = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(LEAST_NORM))
     normed = hits.select("query_id", "chunk_id", "document_id", "ext", "place", F.least(F.col("score") / best, F.lit(1.0)).alias("k"))
-    kept = normed.join(index.documents.select(F.col("id").alias("document_id"), "extension"), "document_id").where("ext is null or extension = ext")
+    kept = normed
+    if filtered:
+        kept = normed.join(index.documents.select(F.col("id").alias("document_id"), "extension"), "document_id").where("ext is null or extension = ext")
     top = F.max(F.struct("k", (-F.col("place")).alias("p"), "chunk_id")).alias("b")
     return kept.groupBy("query_id", "document_id").agg(top).select("query_id", "document_id", F.col("b.k").alias("k"), F.col("b.chunk_id").alias("kw_chunk"))
 
 
-def semantic_candidates(requests: DataFrame, index: Index) -> DataFrame:
+def semantic_candidates(requests: DataFrame, index: Index, filtered: bool = True) -> DataFrame:
     """``query_id, document_id, sim, vec_chunk``: each document's most similar chunk.
 
     The extension is filtered before the best are taken. Only for requests whose extension has no chunk vector at all
@@ -109,7 +123,7 @@ def semantic_candidates(requests: DataFrame, index: Index) -> DataFrame:
     hits = keyword.top_hits(sims, MOST, "sim", "id").where("place <= budget")
     top = F.max(F.struct("sim", (-F.col("place")).alias("p"), "id")).alias("b")
     found = hits.groupBy("query_id", "document_id").agg(top).select("query_id", "document_id", F.col("b.sim").alias("sim"), F.col("b.id").alias("vec_chunk"))
-    if index.document_vectors is None:
+    if index.document_vectors is None or not filtered:
         return found
     present = index.vectors.select("extension").distinct()
     without = query.where("ext is not null").join(present, F.col("ext") == F.col("extension"), "left_anti")
@@ -154,14 +168,12 @@ def search(requests: DataFrame, index: Index) -> DataFrame:
     ``requests``: ``query_id, query, search_mode, extension, max_results``. The three kinds of candidates are brought
     together by one aggregation; scores have 6 decimals before they are compared and ordered, ties go by document.
     """
-    asked = clean_requests(requests)
+    asked, modes, filtered = _held(clean_requests(requests))
     none = {"k": F.lit(None).cast("double"), "kw_chunk": F.lit(None).cast("bigint"), "sim": F.lit(None).cast("double"), "vec_chunk": F.lit(None).cast("bigint")}
     cols = ["query_id", "document_id", *none]
-    parts = [
-        keyword_candidates(asked, index),
-        semantic_candidates(asked, index),
-        name_matches(asked.where("mode <> 'keyword'"), index.documents),
-    ]
+    parts = [keyword_candidates(asked, index, filtered)]
+    if modes - {"keyword"}:
+        parts += [semantic_candidates(asked, index, filtered), name_matches(asked.where("mode <> 'keyword'"), index.documents)]
     every = None
     for p in parts:
         p = p.select(*[c if c in p.columns else none[c].alias(c) for c in cols])
@@ -170,7 +182,7 @@ def search(requests: DataFrame, index: Index) -> DataFrame:
     texts = index.chunks.select(F.col("chunk_id").alias("vec_chunk"), F.col("text").alias("vec_text"))
     rows = one.join(asked, "query_id").join(index.documents.withColumnRenamed("id", "document_id"), "document_id").join(texts, "vec_chunk", "left")
     k, sim = F.coalesce("k", F.lit(0.0)), F.coalesce("sim", F.lit(0.0))
-    lexical = T.coverage(F.col("query"), F.concat_ws(" ", "name", F.coalesce("vec_text", "name")))
+    lexical = T.coverage_of(F.col("asked"), F.concat_ws(" ", "name", F.coalesce("vec_text", "name")))
     calibrated = SEMANTIC_SHARE * sim + LEXICAL_SHARE * lexical
     boost = F.when(T.contains(F.col("name"), F.col("query")), NAME_BOOST).otherwise(0.0)
     mode = F.col("mode")

@@ -83,13 +83,14 @@ def sparse_top_k(queries: DataFrame, rows: DataFrame, owner: str, dimensions: in
     decimals. One matrix product a batch, of which each query's own best ``budget`` rows go on; queries go to every task
     in passes of ``PASS``.
     """
-    passes = max(1, -(-queries.count() // PASS))
+    first = queries.limit(PASS + 1).toArrow()
+    passes = 1 if first.num_rows <= PASS else -(-queries.count() // PASS)
     data = rows.select("id", owner, "extension", "buckets", "weights")
     kind = dict(rows.dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, budget int, id {kind['id']}, owner string, sim double"
     out = None
     for i in range(passes):
-        part = (queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)).toArrow().combine_chunks()
+        part = (first if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow()).combine_chunks()
         asked = _scatter(part.to_batches()[0], dimensions) if part.num_rows else np.zeros((0, dimensions))
         sent = rows.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy(), part.column("ext").to_pylist(), part.column("budget").to_numpy(), asked))
 

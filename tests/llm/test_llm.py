@@ -50,7 +50,7 @@ def test_near_copies_equal_brute_force(spark, n, short, least):
     df = spark.createDataFrame([(t, k, "x", 0) for k, t in rows], "body string, no bigint, key string, h int")
     near = nearcopies.NearCopies(df, "no", "body", n, 0.7, least, short)
     want = brute_pairs([(k, t) for k, t in rows if k is not None], n, least)
-    assert {tuple(r) for r in near.pairs().collect()} == want
+    assert {(r.key_a, r.key_b) for r in near.pairs().collect()} == want
     parent = {}
     for a, b in sorted(want):
         parent[b] = min(parent.get(b, b), parent.get(a, a))
@@ -84,10 +84,37 @@ def test_many_copies_are_linked_to_one(spark):
     t, u = prose(60), None
     u = t + " end"
     df = spark.createDataFrame([(i, t) for i in range(nearcopies.EXPAND + 10)] + [(1000, u)], "id bigint, text string")
-    got = {tuple(r) for r in nearcopies.NearCopies(df, "id", "text", 8).pairs().collect()}
+    got = {tuple(r) for r in nearcopies.NearCopies(df, "id", "text", 8).pairs().select("key_a", "key_b").collect()}
     assert got == {(0, i) for i in range(1, nearcopies.EXPAND + 10)} | {(0, 1000)}
 
 
+def test_every_pair_can_be_listed(spark):
+    t = prose(60)
+    n = nearcopies.EXPAND + 10
+    df = spark.createDataFrame([(i, t) for i in range(n)] + [(1000, t + " end")], "id bigint, text string")
+    near = nearcopies.NearCopies(df, "id", "text", 8)
+    assert {tuple(r) for r in near.pairs(None).collect()} == {(a, b, True) for a, b in itertools.combinations([*range(n), 1000], 2)}
+    assert not any(r.listed for r in near.pairs().collect())
+
+
+def test_copies_are_one_row_and_hot_filters_go_in_blocks(spark):
+    t, other = prose(60), prose(60)
+    texts = spark.createDataFrame([(i, t if i % 2 else t + " end") for i in range(64)] + [(99, other)], "id bigint, text string").repartition(16)
+    plan = nearcopies.candidates(texts.where("id < 99"), 8, False)
+    assert plan.count() == 1
+    rng = random.Random(2)
+    near = [(i, t + f" {rng.randrange(10**6)}") for i in range(60)]
+    df = spark.createDataFrame(near, "id bigint, text string")
+    whole, cut = (nearcopies.candidates(df, 8, False, b) for b in (2000, 7))
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in cut.collect()} and whole.count() == 60 * 59 // 2
+
+
+def test_a_key_with_two_texts_is_linked_by_the_right_one(spark):
+    t, u = prose(60), prose(60)
+    df = spark.createDataFrame([(1, t), (1, u), (2, u + " end"), (3, t + " end")], "id bigint, text string")
+    assert {(r.key_a, r.key_b) for r in nearcopies.NearCopies(df, "id", "text", 8).pairs().collect()} == {(1, 2), (1, 3)}
+
+
 def test_near_copies_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, text string")
     near = nearcopies.NearCopies(df, "id", "text", 8)

@@ -378,6 +378,40 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaks(a.limit(0), b).count() == 0 and leaks.leaks(a, b.limit(0)).count() == 0
 
 
+def test_suffixes_are_sorted():
+    rng = random.Random(9)
+    for text in ["ab" * 300, "a" * 500, "".join(rng.choice("ab") for _ in range(800)), prose(100, rng), ""]:
+        chars, edges = leaks.reduce_text([text])
+        array = leaks.SuffixArray(chars, edges, 200)
+        whole = "".join(map(chr, chars))
+        suffixes = [whole[i : i + 200].ljust(200, "\0") for i in array.at.tolist()]
+        assert suffixes == sorted(suffixes) and sorted(array.at.tolist()) == list(range(0, len(whole), leaks.STEP))
+
+
+def test_longest_match_is_found():
+    rng = random.Random(5)
+    for _ in range(30):
+        a, b = ("".join(rng.choice("abc") for _ in range(300)) for _ in range(2))
+        shared = "".join(rng.choice("xyz") for _ in range(rng.randrange(40, 90)))
+        a, b = a[:100] + shared + a[100:], b[:7] + shared + b[7:]
+        codes = [np.array([ord(c) for c in t], np.uint32) for t in (a, b)]
+        start, length = leaks.longest_common(*codes, 40)
+        assert a[start : start + length] in b and length >= len(shared)
+        assert not any(a[i : i + length + 1] in b for i in range(len(a) - length))
+
+
+def test_repeats_do_not_multiply():
+    import tracemalloc
+
+    items = leaks.Items([1], ["ab" * 2000], 40)
+    tracemalloc.start()
+    chars, edges = leaks.reduce_text(["ab" * 320_000, "zz"])
+    doc, item, start, length = items.matches(leaks.SuffixArray(chars, edges, items.depth))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (doc.tolist(), item.tolist(), start.tolist(), length.tolist()) == ([0], [0], [0], [4000]) and most < 200e6
+
+
 # -- languages ---------------------------------------------------------------------------------------------------------
 
 

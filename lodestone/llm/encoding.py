@@ -5,7 +5,7 @@ Every pair of adjacent characters has a weight from counts over the whole corpus
 punished). In these counts a run that is valid UTF-8 by an inverse mapping stands as what it was, and other certain
 marks and long runs of Latin-1 bytes are left out, so that a source read wrongly is not made probable by its size.
 Pairs below a threshold score positive, others negative, and the maximum-scoring segments of these scores are the
-improbable runs. Inverse mappings (encode by the encoding that was wrongly used, decode by the right one) are tried on
+improbable runs; thresholds are set against the median pair of the corpus. Inverse mappings (encode by the encoding that was wrongly used, decode by the right one) are tried on
 the characters of such runs only, and kept if they make the run clearly more probable. Texts with a run as described
 or a certain mark are looked at in any case. Replacement characters, private-use characters and C1 controls are
 garbled in any case; they may not be recoverable.
@@ -27,15 +27,16 @@ from lodestone.llm.lookalikes import one_form
 
 #: Buckets of the pair table: what is collected and sent to every task is bounded by it.
 PAIR_BUCKETS = 1 << 20
-#: Log10 weight below which a pair counts as improbable, and the gain in mean log10 weight that a repair must bring.
-IMPROBABLE = -4.7
+#: Thresholds are log10 weights under the corpus's own level, the median weight of its pairs beyond ASCII: what many
+#: languages share is thinner for each of them, and so is their level. A pair that far below it is improbable; a run above
+#: the second is left as it is; a repair must come out above the third; a text reads well in its one form above the fourth.
+IMPROBABLE, PLAUSIBLE, ACCEPTABLE, FLUENT = 1.22, 0.22, 1.72, 0.72
+#: The gain in mean log10 weight that a repair must bring.
 GAIN = 0.7
-_FLOOR = -8.5
-#: Pairs seen no more often than this have at most this weight, however small the corpus is.
-RARE, RARE_WEIGHT = 4, -5.2
-#: A run as probable as this is left as it is; a repair must come out at least so probable.
-PLAUSIBLE = -3.7
-ACCEPTABLE = -5.2
+#: Pairs seen no more often than this are no more than acceptable, however small the corpus is.
+RARE = 4
+#: What a pair that was never seen is below the level.
+_FLOOR = 5.02
 #: Right encodings by the encoding that was wrongly used to read.
 INVERSE = {
     "cp1252": ("utf-8", "gb18030", "cp1251", "big5"),
@@ -56,6 +57,8 @@ INVERSE = {
 #: Pairs that map one character to one: any text can be read so, so they need letters around them as well.
 SINGLE = {"cp1252", "cp1251", "koi8_r"}
 
+#: Sum of a segment's scores from which it is tested inside a span that is likely as a whole.
+CLEAR = 3.0
 _CERTAIN = re.compile("[\ufffd\ue000-\uf8ff\x80-\x84\x86-\x9f]")
 #: Encodings that UTF-8 may have been read in: of one byte a character, of two.
 _ONE = [c for c, rights in INVERSE.items() if "utf-8" in rights and c not in ("gb18030", "big5", "cp932", "cp949")]
@@ -66,8 +69,9 @@ _SPAN = re.compile(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*[a-z]?")
 
 
 def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pair's bucket; odd ones are those of pairs with a character beyond ASCII."""
     h = a * 0x9E3779B1 + b * 0x85EBCA77
-    return (h ^ (h >> 17)) & (PAIR_BUCKETS - 1)
+    return (h ^ (h >> 17)) & (PAIR_BUCKETS - 2) | ((a > 127) | (b > 127))
 
 
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +197,11 @@ class Weights:
         self.single = np.ones(0x110000)
         self.single[chars] = char_counts
         self.total = max(1.0, float(self.pairs.sum()))
+        beyond = np.sort(self.pairs[1::2])[::-1]
+        level = beyond[np.searchsorted(np.cumsum(beyond), beyond.sum() / 2)] if beyond[0] else 1.0
+        #: Log10 share of the pair that the median of all pairs beyond ASCII is.
+        self.level = float(np.log10(level / self.total))
+        self.floor = self.level - _FLOOR
         self._known: dict[str, float] = {}
 
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,8 +218,8 @@ class Weights:
         with np.errstate(divide="ignore", invalid="ignore"):
             pmi = np.log(n * self.total / (self.single[a] * self.single[b]))
             weight = np.log10(n / self.total * np.maximum(1.0, pmi))
-        weight = np.where(n > RARE, weight, np.minimum(weight, RARE_WEIGHT))
-        return np.where(n > 0, np.maximum(weight, _FLOOR), _FLOOR)
+        weight = np.where(n > RARE, weight, np.minimum(weight, self.level - ACCEPTABLE))
+        return np.where(n > 0, np.maximum(weight, self.floor), self.floor)
 
     def mean(self, text: str) -> float:
         """Mean weight of the text's pairs; the floor for a text without any."""
@@ -224,7 +233,7 @@ class Weights:
                     known.clear()
                 weight = known[pair] = float(self.of(np.array([ord(a), ord(b)], np.int64))[0])
             total += weight
-        return total / (len(text) - 1) if len(text) > 1 else _FLOOR
+        return total / (len(text) - 1) if len(text) > 1 else self.floor
 
 
 def corpus_weights(df: DataFrame, text: str = "text") -> Weights:
@@ -287,6 +296,7 @@ class Finder:
 
     def __init__(self, weights: Weights) -> None:
         self.weights = weights
+        self.improbable, self.plausible, self.acceptable, self.fluent = (weights.level - x for x in (IMPROBABLE, PLAUSIBLE, ACCEPTABLE, FLUENT))
         self.repair_span = lru_cache(maxsize=100_000)(self._repair_span)
 
     def _inverses(self, span: str) -> Iterator[tuple[str, str, str]]:
@@ -307,13 +317,13 @@ class Finder:
     def _repair_span(self, before: str, span: str, after: str) -> tuple[str, str, str] | None:
         """The repaired span with the encodings used, or ``None`` if no inverse mapping makes it more probable."""
         now = self.weights.mean(before[-1:] + span + after[:1])
-        if now > PLAUSIBLE:
+        if now > self.plausible:
             return None
         whole = before + span + after
         plain = one_form(whole)
-        if plain != whole and (as_seen := self.weights.mean(plain)) > -4.2 and as_seen > self.weights.mean(whole) + 0.3:
+        if plain != whole and (as_seen := self.weights.mean(plain)) > self.fluent and as_seen > self.weights.mean(whole) + 0.3:
             return None  # disguised, not garbled: it reads well in its one form
-        found, best = None, max(now + GAIN, ACCEPTABLE)
+        found, best = None, max(now + GAIN, self.acceptable)
         before, after = before[-1:], after[:1]
         for fixed, wrong, right in self._inverses(span):
             options = [(fixed, wrong, right)]
@@ -343,12 +353,12 @@ class Finder:
         touching = [c for c in (before[-1:], after[:1]) if c.isalpha() and c.isascii()]
         return low == len(letters) and bool(touching) or len(letters) >= 4 and low >= 0.7 * len(letters)
 
-    def runs(self, text: str, weights: np.ndarray) -> list[tuple[int, int]]:
-        """The spans of foreign characters inside the improbable segments."""
-        scores = np.clip(IMPROBABLE - weights, -1.5, 3.0)
+    def runs(self, text: str, weights: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """The spans of foreign characters inside the improbable segments, and these segments, both in characters."""
+        scores = np.clip(self.improbable - weights, -1.5, 3.0)
         segments = improbable_segments(scores)
         if not segments:
-            return []
+            return [], []
         spans = np.array([m.span() for m in _SPAN.finditer(text)], np.int64).reshape(-1, 2)
         begin, end = spans[:, 0], spans[:, 1]
         # the pair before a span is at begin - 1, the one after it at end - 1
@@ -356,34 +366,40 @@ class Finder:
         inside = (at >= 0) & (np.array([e for _, e in segments])[at] >= begin)
         sums = np.concatenate([[0.0], np.cumsum(weights)])
         first, last = np.maximum(begin - 1, 0), np.minimum(end, len(weights))
-        unlikely = sums[last] - sums[first] <= (PLAUSIBLE + 0.05) * (last - first)
-        return [(int(a), int(b)) for a, b in spans[inside & unlikely]]
+        unlikely = sums[last] - sums[first] <= (self.plausible + 0.05) * (last - first)
+        gains = np.concatenate([[0.0], np.cumsum(scores)])
+        clear = [(b, e + 1) for b, e in segments if gains[e] - gains[b] >= CLEAR]
+        found = {(int(a), int(b)) for a, b in spans[inside & unlikely]}
+        # inside a span that is likely as a whole the clear segments stand for themselves
+        for a, b in spans[inside & ~unlikely].tolist():
+            found |= {(max(a, x), min(b, y)) for x, y in clear if min(b, y) - max(a, x) >= 2}
+        return sorted(found), [(b, e + 1) for b, e in segments]
 
     def garbled(self, text: str, weights: np.ndarray) -> list[tuple[int, int, str | None, str]]:
         """``begin, end, repaired, encodings`` of each garbled run; ``repaired`` is null where nothing fits."""
         out = []
-        for a, b in self.runs(text, weights):
-            span = text[a:b]
-            pieces = [(a, b)]
-            if _CERTAIN.search(span):
-                out += [(a + m.start(), a + m.end(), None, "lost") for m in _CERTAIN.finditer(span) if m[0] == "\ufffd"]
-            for x, y in pieces:
-                fixed = self.repair_span(text[max(0, x - 3) : x], text[x:y], text[y : y + 3])
-                if fixed is None and text[y - 1 : y].isascii():  # without the letter that may have been swallowed
-                    y -= 1
-                    fixed = self.repair_span(text[max(0, x - 3) : x], text[x:y], text[y : y + 3])
-                if fixed:
-                    out.append((x, y, fixed[0], f"{fixed[1]} > {fixed[2]}"))
-                else:
-                    out += self._parts(text, x, y)
+        runs, segments = self.runs(text, weights)
+        for x, y in runs:
+            if _CERTAIN.search(text[x:y]):
+                out += [(x + m.start(), x + m.end(), None, "lost") for m in _CERTAIN.finditer(text[x:y]) if m[0] == "\ufffd"]
+            fixed = self._try(text, x, y)
+            if fixed is None and text[y - 1 : y].isascii():  # without the letter that may have been swallowed
+                y -= 1
+                fixed = self._try(text, x, y)
+            out += [fixed] if fixed else self._parts(text, x, y, segments)
         if not out:
             out = [(m.start(), m.end(), None, "lost") for m in _CERTAIN.finditer(text)]
-        return sorted(set(out) | set(self._alike(text, out)))
+        return sorted(set(out) | set(self._alike(text, out, segments)))
 
-    def _alike(self, text: str, found: list[tuple[int, int, str | None, str]]) -> Iterator[tuple[int, int, str | None, str]]:
-        """The text's other runs that a mapping found in it restores: what was read wrongly once was so throughout.
+    def _try(self, text: str, x: int, y: int) -> tuple[int, int, str | None, str] | None:
+        fixed = self.repair_span(text[max(0, x - 3) : x], text[x:y], text[y : y + 3])
+        return (x, y, fixed[0], f"{fixed[1]} > {fixed[2]}") if fixed else None
 
-        Only UTF-8 as the right encoding counts here, since hardly anything else is valid in it.
+    def _alike(self, text: str, found: list[tuple[int, int, str | None, str]], segments: list[tuple[int, int]]) -> Iterator[tuple[int, int, str | None, str]]:
+        """The text's other improbable runs that a mapping found in it restores: what was read wrongly once was so throughout.
+
+        Only UTF-8 as the right encoding counts here, since hardly anything else is valid in it. A run is improbable if
+        it has part in any segment, however short.
         """
         done = [(a, b) for a, b, new, _ in found if new is not None]
         for wrong, right in {tuple(e.split(" > ")) for *_, new, e in found if new is not None}:
@@ -391,7 +407,7 @@ class Finder:
                 continue
             for m in re.finditer(r"[^\x00-\x7f\ufffd]{2,}", text):
                 a, b = m.span()
-                if any(x < b and a < y for x, y in done):
+                if any(x < b and a < y for x, y in done) or not any(x < b and a < y for x, y in segments):
                     continue
                 fixed = m[0]
                 for codec in wrong.split():
@@ -407,16 +423,24 @@ class Finder:
                     done.append((a, b))
                     yield a, b, fixed, f"{wrong} > {right}"
 
-    def _parts(self, text: str, a: int, b: int) -> list[tuple[int, int, str | None, str]]:
-        """The pieces of a span between characters that are lost or ASCII."""
-        out = []
-        for m in re.finditer(r"[^\x00-\x7f\ufffd]+", text[a:b]):
-            x, y = a + m.start(), a + m.end()
-            if (x, y) == (a, b):
-                continue
-            fixed = self.repair_span(text[max(0, x - 3) : x], text[x:y], text[y : y + 3])
-            if fixed:
-                out.append((x, y, fixed[0], f"{fixed[1]} > {fixed[2]}"))
+    def _parts(self, text: str, a: int, b: int, segments: list[tuple[int, int]]) -> list[tuple[int, int, str | None, str]]:
+        """The pieces of a span that can be repaired by themselves: between characters that are lost or ASCII, of ideographs
+        or of none, and inside the improbable segments, with and without the characters at their ends."""
+        pieces = [m.span() for m in re.finditer(r"[^\x00-\x7f\ufffd]+", text[a:b])]
+        pieces += [m.span() for m in re.finditer(r"[\u2e80-\uffee]+|[^\x00-\x7f\ufffd\u2e80-\uffee]+", text[a:b])]
+        for x, y in segments:
+            x, y = max(a, x), min(b, y)
+            if y - x >= 2:
+                for m in re.finditer(r"[\u2e80-\uffee]{2,}|[^\x00-\x7f\ufffd\u2e80-\uffee]{2,}", text[x:y]):
+                    u, v = x + m.start() - a, x + m.end() - a
+                    pieces += [(u, v), (u + 1, v), (u, v - 1), (u + 1, v - 1)]
+        out, done = [], [(a, b)]
+        for u, v in dict.fromkeys(pieces):
+            x, y = a + u, a + v
+            if y > x and (x, y) not in done and not any(p < y and x < q for p, q, *_ in out):
+                done.append((x, y))
+                if fixed := self._try(text, x, y):
+                    out.append(fixed)
         return out
 
 
@@ -428,7 +452,7 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
     weights = np.zeros(len(foreign))  # only pairs with a foreign character are asked for
     weights[at] = finder.weights.of_pairs(codes[at], codes[at + 1])
     edges = np.append(begins, len(codes))
-    hot = np.add.reduceat(np.append((weights < IMPROBABLE) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
+    hot = np.add.reduceat(np.append((weights < finder.improbable) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
     # certain marks and runs of UTF-8 read wrongly are tested, however probable
     begin, end, certain = _upper(codes)
     sure = np.concatenate([certain, np.array([a for a, *_ in _misread(texts, codes, begin, end)[1]], np.int64)])
@@ -476,7 +500,8 @@ def garbled_rows(df: DataFrame, key: str = "id", text: str = "text") -> DataFram
 
     ``complete``: nothing lost is left in it. Null keys and texts, empty and clean texts give no row; repeated rows
     count once; an empty table gives an empty result. Texts are read whole. The weights come from all texts of ``df``; of
-    less than about a hundred thousand characters they tell little, and only certain marks are found for sure.
+    less than about a hundred thousand characters they tell little, and only certain marks are found for sure. Texts of
+    ASCII alone are passed over: all encodings considered read ASCII alike, so no inverse mapping changes such a text.
     """
     sent = df.sparkSession.sparkContext.broadcast(corpus_weights(df, text).packed())
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & ~F.col(text).rlike(r"\A[\x00-\x7f]*\z")).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))

@@ -1,47 +1,78 @@
 """The language of documents and of the stretches inside them.
 
-Script ranges narrow the candidates of every word: Han words can only be Chinese, Cyrillic ones Russian, Latin ones one
-of the five Latin languages. Inside a script a word scores by character n-grams learned from labelled sentences. A
-Viterbi path over the word scores, with a penalty for every switch, labels the spans. Garbled text is repaired and
-disguised text brought to its one form first, so both count in the language they were written in.
+The languages are those of the labelled sentences, and ``OTHER`` for all else. Script ranges narrow the candidates of every
+word: of a script with one candidate every word is its (unless an alphabet's word has a letter that the candidate's
+sentences never use), of a script without any it is of another language, of a script with several it scores by character
+n-grams learned from the sentences and by the documents of each language that have it. A Viterbi path over the word
+scores, with a penalty for every switch, labels the spans. Garbled text is repaired and disguised text brought to its one
+form first, so both count in the language they were written in.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import encoding, lookalikes
 from lodestone.llm.batches import map_text, sliced
+from lodestone.runtime import cut
 
-LANGUAGES = ["zh", "en", "de", "fr", "es", "pt", "ru"]
-LATIN = [LANGUAGES.index(x) for x in ("en", "de", "fr", "es", "pt")]
-ZH, RU = LANGUAGES.index("zh"), LANGUAGES.index("ru")
+#: What no labelled sentence is in.
+OTHER = "other"
 #: Most labelled sentences a language that the model is fitted on.
 SAMPLES = 2_000
 #: What a switch costs, in nats of word scores; what one word can count; least characters of a foreign stretch.
 SWITCH = 5.0
 WORD_LIMIT = 4.0
 STRETCH = 60
-# The three-letter codes of the seven languages.
+# Three-letter codes of languages, and ranges of the scripts' letters.
 THREE = {"zho": "zh", "chi": "zh", "cmn": "zh", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "rus": "ru"}
-
-_HAN = "㐀-䶿一-鿿豈-﫿"
-_TOKEN = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ɏ]+|[Ѐ-ӿ]+|[{_HAN}]+")
+SCRIPTS = {
+    "Latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)),
+    "Cyrillic": ((0x400, 0x52F),),
+    "Han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)),
+    "Kana": ((0x3041, 0x309F), (0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF)),
+    "Hangul": ((0x1100, 0x11FF), (0x3131, 0x318E), (0xAC00, 0xD7A3)),
+    "Greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "Armenian": ((0x531, 0x587),),
+    "Hebrew": ((0x5D0, 0x5F4), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x620, 0x6D3), (0x6FA, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8C7), (0xFB50, 0xFDFB), (0xFE70, 0xFEFC)),
+    "Indic": ((0x900, 0xDFF),),
+    "Thai": ((0xE01, 0xEFF),),
+    "Georgian": ((0x10A0, 0x10FF),),
+    "Ethiopic": ((0x1200, 0x139F),),
+    "Khmer": ((0x1780, 0x17D3),),
+}
+#: Scripts written without spaces between words: a character tells as much as two of an alphabet.
+DENSE = {"Han", "Kana", "Hangul", "Thai", "Khmer"}
+
+
+def _class(*scripts: str) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for name in scripts for a, b in SCRIPTS[name])
+
+
+_TOKEN = re.compile(f"[{_class('Latin')}]+|[{_class('Cyrillic')}]+|[{_class('Han')}]+|[{_class(*[x for x in SCRIPTS if x not in ('Latin', 'Cyrillic', 'Han')])}]+")
 _SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]*(?:[\"”’»）)}]+)?\s*")
 _KEPT = 300_000
-#: Buckets of the table of words that the corpus has in documents of each Latin language: bounds what is collected.
-WORD_BUCKETS = 1 << 17
-#: Documents a word must occur in before the corpus says more about it than its characters.
-ENOUGH = 12
+#: Share of the documents (and least number) a word must occur in before the corpus says more about it than its
+#: characters. So many words can reach it at most: a document's mean number of different words, divided by the share.
+FREQUENT, FEWEST = 1 / 8_000, 12
+#: What is added to a word's counts, and to the sum of all words', before they are compared.
+SMOOTH, SMOOTH_ALL = 0.5, 655.0
+
+
+@lru_cache(maxsize=None)
+def script_of(char: str) -> str:
+    code = ord(char)
+    return next((name for name, ranges in SCRIPTS.items() if any(a <= code <= b for a, b in ranges)), "")
 
 
 class Model:
@@ -49,33 +80,46 @@ class Model:
 
     ORDER = 4
 
-    def __init__(self, sentences: list[tuple[str, str]], corpus: np.ndarray | None = None, guess: bool = True) -> None:
-        """``guess``: score words that neither the sentences nor the corpus have by their characters."""
+    def __init__(self, sentences: list[tuple[str, str]], corpus: tuple[dict[str, np.ndarray], np.ndarray] | None = None, guess: bool = True) -> None:
+        """``corpus``: the counts of frequent words by language, and those of all words; ``guess``: score words that
+        neither the sentences nor the corpus have by their characters."""
+        self.languages = [*sorted({lang for lang, _ in sentences}), OTHER]
+        self.other = len(self.languages) - 1
         self.corpus, self.guess = corpus, guess
-        if corpus is not None:
-            self.documents = np.maximum(corpus.sum(0), 1.0)
-        self.grams = [Counter() for _ in LANGUAGES]
-        self.words = [Counter() for _ in LANGUAGES]
+        tokens = {lang: Counter() for lang in self.languages}
         for lang, text in sentences:
-            i = LANGUAGES.index(lang)
-            if i not in LATIN:
+            tokens[lang].update(_TOKEN.findall(text))
+        #: The languages of each script: a language is of the script that most letters of its sentences have.
+        self.scripts: dict[str, list[int]] = {}
+        self.letters: dict[str, set[str]] = {}
+        for i, lang in enumerate(self.languages[:-1]):
+            sizes: Counter = Counter()
+            for word, n in tokens[lang].items():
+                sizes[script_of(word[0])] += n * len(word)
+            if sizes:
+                script = sizes.most_common(1)[0][0]
+                self.scripts.setdefault(script, []).append(i)
+                self.letters.setdefault(script, set()).update(c for word in tokens[lang] for c in word.lower())
+        self.words: dict[int, Counter] = {}
+        self.score_of: dict[str, dict[str, np.ndarray]] = {}
+        for script, own in self.scripts.items():
+            if len(own) == 1:
                 continue
-            for word in _TOKEN.findall(text):
-                if self._plain(word):
-                    self.words[i][word.lower()] += 1
-                    self.grams[i].update(self._grams(word.lower()))
-        every: Counter = Counter()
-        for i in LATIN:
-            every.update(self.grams[i])
-        sizes = [max(1, sum(self.grams[i].values())) for i in LATIN]
-        prior = np.array([math.log(0.5 / (s + 0.5 * max(1, len(every)))) for s in sizes])
-        self.score_of = {}
-        for gram in every:
-            counts = np.array([self.grams[i][gram] for i in LATIN], float)
-            self.score_of[gram] = np.log((counts + 0.5) / (np.array(sizes) + 0.5 * len(every))) - prior
-        self.offset = prior - prior.mean()
+            grams = {i: Counter() for i in own}
+            for i in own:
+                self.words[i] = Counter()
+                for word, n in tokens[self.languages[i]].items():
+                    if self._plain(word) and script_of(word[0]) == script:
+                        self.words[i][word.lower()] += n
+                        for gram in self._grams(word.lower()):
+                            grams[i][gram] += n
+            every = set().union(*grams.values())
+            sizes_ = np.array([max(1, sum(grams[i].values())) for i in own], float)
+            prior = np.log(0.5 / (sizes_ + 0.5 * max(1, len(every))))
+            counts = {g: np.array([grams[i][g] for i in own], float) for g in every}
+            self.score_of[script] = {g: np.log((c + 0.5) / (sizes_ + 0.5 * len(every))) - prior for g, c in counts.items()}
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(LANGUAGES)), np.float32)
+        self.table = np.zeros((0, len(self.languages)), np.float32)
 
     @staticmethod
     def _plain(word: str) -> bool:
@@ -88,65 +132,55 @@ class Model:
 
     def score(self, word: str) -> np.ndarray:
         """Log scores of a word in all languages: 0 for the best, at least ``-WORD_LIMIT`` for the others."""
-        out = np.full(len(LANGUAGES), -WORD_LIMIT, np.float32)
-        if not self._plain(word):
-            return np.zeros(len(LANGUAGES), np.float32)
-        if self.corpus is not None:
-            own = self.corpus[bucket(word)]
-            if own.sum() >= ENOUGH:
-                odds = np.log((own + 0.5) / (self.documents + 0.5 * WORD_BUCKETS / 100))
-                out[LATIN] = np.maximum(odds - odds.max(), -WORD_LIMIT)
-                return out
+        out = np.full(len(self.languages), -WORD_LIMIT, np.float32)
+        script = script_of(word[0])
+        own = self.scripts.get(script, [])
         low = word.lower()
-        seen = any(low in self.words[i] for i in LATIN)
+        if len(own) < 2 or not self._plain(word):
+            if len(own) > 1:
+                return np.zeros(len(self.languages), np.float32)
+            # a letter that the sentences never use tells more than one that they do
+            foreign = bool(own) and script not in DENSE and any(c not in self.letters[script] for c in low)
+            n = min(len(word), 12) / (2 if script in DENSE else 4) * (2 if foreign or not own else 1)
+            out *= n if len(word) > 1 else 0.25
+            out[own[0] if own and not foreign else self.other] = 0
+            return out
+        if self.corpus is not None and (found := self.corpus[0].get(low)) is not None:
+            odds = np.log((found[own] + SMOOTH) / (self.corpus[1][own] + SMOOTH_ALL))
+            out[own] = np.maximum(odds - odds.max(), -WORD_LIMIT)
+            return out
+        seen = any(low in self.words[i] for i in own)
         if not seen and (word[0].isupper() or not self.guess):  # a name, as likely as not
-            return np.zeros(len(LANGUAGES), np.float32)
-        total = np.zeros(len(LATIN))
+            return np.zeros(len(self.languages), np.float32)
+        if not seen and any(c not in self.letters[script] for c in low):
+            out[self.other] = 0
+            return out
+        total = np.zeros(len(own))
         for gram in self._grams(low):
-            known = self.score_of.get(gram)
+            known = self.score_of[script].get(gram)
             if known is not None:
                 total += known
         total *= 0.6 if seen else 0.4
-        limit = float(-out[0])
-        out[LATIN] = np.maximum(total - total.max(), -limit)
+        out[own] = np.maximum(total - total.max(), -WORD_LIMIT)
         return out
 
-    @staticmethod
-    def _by_script() -> np.ndarray:
-        """Rows for the words whose script settles the language, by script and length (up to 12 characters)."""
-        rows = np.full((26, len(LANGUAGES)), -WORD_LIMIT, np.float32)
-        for i, lang in enumerate((ZH, RU)):
-            for n in range(13):
-                rows[13 * i + n] *= 0.25 if n == 1 else n / (4 if lang == RU else 2)
-                rows[13 * i + n, lang] = 0
-        return rows
+    def countable(self, word: str) -> bool:
+        """Whether documents are counted for the word: it is one of a script with several languages."""
+        return len(self.scripts.get(script_of(word[0]), ())) > 1 and self._plain(word)
 
     def indices(self, words: list[str]) -> np.ndarray:
         """The table row of each word; it enlarges the table."""
-        if len(self.known) > _KEPT or not len(self.table):
+        if len(self.known) > _KEPT:
             self.known.clear()
-            self.table, self.buckets = self._by_script(), np.full(26, -1)
+            self.table = self.table[:0]
         known = self.known
-        new = []
-        for word in set(words).difference(known):
-            first = word[0]
-            if first > "\u3400":
-                known[word] = min(len(word), 12)
-            elif "\u0400" <= first <= "\u04ff":
-                known[word] = 13 + min(len(word), 12)
-            else:
-                new.append(word)
+        new = list(set(words).difference(known))
         if new:
             known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, np.stack([self.score(w) for w in new])])
-            self.buckets = np.concatenate([self.buckets, [bucket(w) if self._plain(w) else -1 for w in new]])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
-
-
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best labels of a row of words: the sum of their scores less ``switch`` for every change."""
     n, k = scores.shape
@@ -220,17 +254,17 @@ class Spans:
         edge = np.cumsum([0, *map(len, split)])
         self.at = self.model.indices([w for words in split for w in words])
         scores = self.model.table[self.at]
-        sums = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(scores, axis=0, dtype=float)])
+        sums = np.concatenate([np.zeros((1, len(self.model.languages))), np.cumsum(scores, axis=0, dtype=float)])
         return edge, scores, sums, (sums[edge[1:]] - sums[edge[:-1]]).argmax(1)
 
     def _mixed(self, scores: np.ndarray, sums: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, float, list[tuple[int, int, int, float]]]:
         path = viterbi(scores)
         begins = np.concatenate([[0], ends[:-1]])
         told = -scores.min(1)  # words that tell nothing have no say
-        votes = np.stack([np.concatenate([[0.0], np.cumsum(np.where(path == k, told + 1e-3, 0))]) for k in range(len(LANGUAGES))], axis=1)
+        votes = np.stack([np.concatenate([[0.0], np.cumsum(np.where(path == k, told + 1e-3, 0))]) for k in range(scores.shape[1])], axis=1)
         label = (votes[ends] - votes[begins]).argmax(1)
         weight = np.array([min(1.0, (b - a) / 20) for a, b in spans])
-        count = np.bincount(label, weight, minlength=len(LANGUAGES))
+        count = np.bincount(label, weight, minlength=scores.shape[1])
         main = int(count.argmax())
         out, i = [], 0
         while i < len(label):
@@ -264,7 +298,7 @@ def _confidence(totals: np.ndarray, words: int, chosen: int) -> float:
 
 
 def normal_label(lang: Column) -> Column:
-    """One of the seven codes or another two-letter code; null for a missing label (null, blank, und, unknown)."""
+    """A two-letter code; null for a missing label (null, blank, und, unknown)."""
     first = F.split(F.lower(F.trim(lang)), "[-_]")[0]
     code = first
     for three, two in THREE.items():
@@ -273,13 +307,10 @@ def normal_label(lang: Column) -> Column:
 
 
 def fit(samples: DataFrame) -> list[tuple[str, str]]:
-    """At most ``SAMPLES`` labelled sentences of each of the seven languages, for the model."""
-    rows = samples.where(F.col("text").isNotNull() & F.col("lang").isin(LANGUAGES)).select("lang", "text").distinct()
-    taken = [rows.where(F.col("lang") == x).orderBy(F.xxhash64("text"), "text").limit(SAMPLES) for x in LANGUAGES]
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return sorted((r["lang"], r["text"]) for r in out.collect())
+    """At most ``SAMPLES`` labelled sentences of each language, for the model."""
+    rows = samples.where(F.col("text").isNotNull() & (F.trim("lang") != "")).select("lang", "text").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    return sorted((r["lang"], r["text"]) for r in rows.withColumn("n", place).where(F.col("n") <= SAMPLES).collect())
 
 
 def _repairer(pairs: tuple) -> Callable[[list[str]], list[str]]:
@@ -292,36 +323,60 @@ def _repairer(pairs: tuple) -> Callable[[list[str]], list[str]]:
     return clean
 
 
-def corpus_words(rows: DataFrame, sentences: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and counts: in how many documents of each Latin language a word (its bucket) occurs.
+def corpus_words(rows: DataFrame, sentences: list[tuple[str, str]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """In how many documents of each language the frequent words occur, and the sum of this over all words.
 
-    The language of a whole document is sure from the sentences' model alone. Documents are counted over the whole
-    corpus; at most ``WORD_BUCKETS`` times five rows come to the driver.
+    The language of a whole document is sure from the sentences' model alone. Words are counted over the whole corpus by
+    themselves; those of too few documents are left out before anything comes to the driver.
     """
+    names = sorted({lang for lang, _ in sentences})
+    fields = ["documents", *[f"n{i}" for i in range(len(names))]]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_, table = Spans(Model(sentences, guess=False)), np.zeros(WORD_BUCKETS * len(LATIN), np.int64)
-        place = np.full(len(LANGUAGES), -1)
-        place[LATIN] = np.arange(len(LATIN))
+        spans_ = Spans(Model(sentences, guess=False))
+        model, k, documents, held = spans_.model, len(names), 0, {}
+
+        def handed() -> pa.RecordBatch:
+            table = np.array(list(held.values()), np.int64).reshape(-1, k)
+            size = np.zeros((len(held), 1), np.int64)
+            words = list(held)
+            if documents:
+                words.append(None)
+                table = np.concatenate([table, np.zeros((1, k), np.int64)])
+                size = np.concatenate([size, [[documents]]])
+            every = np.concatenate([size, table], axis=1)
+            return pa.record_batch([pa.array(words, pa.string()), *[pa.array(every[:, i].copy(), pa.int64()) for i in range(k + 1)]], names=["word", *fields])
+
         for batch in sliced(batches, "text"):
-            edge, _, _, main = spans_.scored(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            documents += len(texts)
+            edge, _, _, main = spans_.scored(texts)
             doc = np.repeat(np.arange(len(main)), np.diff(edge))
-            slot = spans_.model.buckets[spans_.at]
-            lang = place[main[doc]]
-            on = (slot >= 0) & (lang >= 0)
-            once = np.unique(doc[on] * (WORD_BUCKETS * len(LATIN)) + slot[on] * len(LATIN) + lang[on])
-            table += np.bincount(once % (WORD_BUCKETS * len(LATIN)), minlength=len(table))
-        used = np.flatnonzero(table)
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(table[used], pa.int64())], names=["slot", "n"])
-
-    counts = rows.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    return counts.column("slot").to_numpy(), counts.column("n").to_numpy()
-
-
-def _table(slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.zeros(WORD_BUCKETS * len(LATIN))
-    out[slots] = counts
-    return out.reshape(WORD_BUCKETS, len(LATIN))
+            at = np.unique(spans_.at * np.int64(len(texts)) + doc)  # a word once for each document
+            word, doc = at // len(texts), at % len(texts)
+            lang = main[doc]
+            sums = np.bincount(word[lang < k] * k + lang[lang < k], minlength=len(model.table) * k).reshape(-1, k)
+            for w, i in model.known.items():
+                if i < len(sums) and sums[i].any() and model.countable(w):
+                    low = w.lower()
+                    mine = held.get(low)
+                    held[low] = sums[i].copy() if mine is None else mine + sums[i]
+            if len(held) > _KEPT:
+                yield handed()
+                held, documents = {}, 0
+        if held or documents:
+            yield handed()
+
+    types = ", ".join(f"{f} bigint" for f in fields)
+    counts = rows.select("text").mapInArrow(count, f"word string, {types}").groupBy("word").agg(*[F.sum(f).alias(f) for f in fields])
+    counts = cut(counts)
+    sums = counts.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in fields]).first()
+    least = max(FEWEST, sums["documents"] * FREQUENT)
+    frequent = counts.where(F.col("word").isNotNull() & (sum((F.col(f) for f in fields[2:]), F.col(fields[1])) >= least)).toArrow() if names else None
+    if frequent is None or not frequent.num_rows:
+        return {}, np.array([*sums[1:], 0], float)
+    table = np.stack([frequent.column(f).to_numpy() for f in fields[1:]], axis=1).astype(float)
+    return dict(zip(frequent.column("word").to_pylist(), table, strict=True)), np.array([*sums[1:], 0], float)
 
 
 SCHEMA = "doc_id bigint, lang string, confidence double, begin int, end int, span_lang string, span_confidence double"
@@ -341,13 +396,14 @@ def spans(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str =
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         sentences, words, pairs = sent.value
-        labeller, clean = Spans(Model(sentences, _table(*words))), _repairer(pairs)
+        labeller, clean = Spans(Model(sentences, words)), _repairer(pairs)
+        names = labeller.model.languages
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(7)]
             for k, (main, sure, parts) in zip(batch.column("key").to_pylist(), labeller.label(clean(batch.column("text").to_pylist())), strict=True):
                 for a, b, lang, own in parts:
-                    for col, value in zip(cols, (k, LANGUAGES[main], sure, a, b, LANGUAGES[lang], own), strict=True):
+                    for col, value in zip(cols, (k, names[main], sure, a, b, names[lang], own), strict=True):
                         col.append(value)
             types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -361,13 +417,15 @@ def findings(docs: DataFrame, samples: DataFrame, key: str = "doc_id", lang: str
     """``doc_id, kind, lang``: documents with a missing or wrong label (with the right one) and mixed ones.
 
     A document is mixed if a stretch of at least ``STRETCH`` characters is in another language than its main one; it
-    then has one row for each of its languages.
+    then has one row for each of its languages. A document in ``OTHER`` has a wrong label only if it is missing or names
+    a language of the samples.
     """
+    named = [r[0] for r in samples.select("lang").distinct().collect()]
     labels = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), normal_label(F.col(lang)).alias("told")).distinct()
     found = spans(docs, samples, key, text)
     foreign = (F.col("span_lang") != F.col("lang")) & (F.col("end") - F.col("begin") >= STRETCH)
     each = found.groupBy("doc_id", "lang").agg(F.collect_set(F.when(foreign, F.col("span_lang"))).alias("others"))
-    right = F.coalesce(F.col("told") == F.col("lang"), F.lit(False))
+    right = F.coalesce((F.col("told") == F.col("lang")) | ((F.col("lang") == OTHER) & ~F.col("told").isin(named)), F.lit(False))
     kinds = F.concat(
         F.when(right, F.array().cast("array<struct<kind:string,lang:string>>")).otherwise(F.array(F.struct(F.lit("label").alias("kind"), "lang"))),
         F.when(F.size("others") > 0, F.transform(F.array_union(F.array("lang"), "others"), lambda x: F.struct(F.lit("mixed").alias("kind"), x.alias("lang")))).otherwise(

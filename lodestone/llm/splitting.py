@@ -29,7 +29,7 @@ _SENTENCE = re.compile(r"(?:[。！？；]|[.!?…](?=\s|$)|\n|(?<=\})\r)[\"'”
 _CLAUSE = re.compile(r"[，、,;:：](?=\s|[^\x00-\x7f])\s*|\s[–—-]\s")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
 def _words(sentence: str) -> list[str]:

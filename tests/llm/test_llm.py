@@ -423,8 +423,45 @@ def samples(spark):
 def test_held_out_accuracy(samples):
     rows = [(r.lang, r.text) for r in samples.select("lang", "text").collect()]
     random.Random(4).shuffle(rows)
-    got = languages.Spans(languages.Model(rows[:200])).label([t for _, t in rows[200:]])
-    assert sum(languages.LANGUAGES[m] == lang for (m, _, _), (lang, _) in zip(got, rows[200:], strict=True)) >= 0.98 * len(got)
+    model = languages.Model(rows[:200])
+    got = languages.Spans(model).label([t for _, t in rows[200:]])
+    assert sum(model.languages[m] == lang for (m, _, _), (lang, _) in zip(got, rows[200:], strict=True)) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "오늘 회의에서 다음 분기의 예산과 일정에 대해 논의했습니다. 모든 부서가 자료를 제출했습니다.",
+        "今日の会議では来期の予算について話し合いました。すべての部署が資料を提出しました。",
+        "Сьогодні ми їдемо до міста, бо її сім'я живе біля річки. Це був найкращий день у цій країні, і всі її діти сміялися.",
+        "ناقشنا اليوم في الاجتماع ميزانية الربع القادم والجدول الزمني وقدمت جميع الأقسام وثائقها.",
+        "Σήμερα συζητήσαμε τον προϋπολογισμό του επόμενου τριμήνου και όλα τα τμήματα υπέβαλαν έγγραφα.",
+    ],
+)
+def test_languages_without_samples_are_another(samples, text):
+    model = languages.Model([(r.lang, r.text) for r in samples.select("lang", "text").collect()])
+    ((main, sure, _),) = languages.Spans(model).label([text])
+    assert model.languages[main] == languages.OTHER and sure > 0.5
+
+
+def test_languages_are_those_of_the_samples(spark):
+    rows = [("el", "Σήμερα συζητήσαμε τον προϋπολογισμό"), ("en", "Today we talked about the budget of the next quarter"), ("ko", "오늘 회의에서 예산을 논의했습니다"), (None, "x"), ("en", None)]
+    fitted = languages.fit(spark.createDataFrame(rows, "lang string, text string"))
+    model = languages.Model(fitted)
+    assert model.languages == ["el", "en", "ko", "other"]
+    assert [model.languages[m] for m, _, _ in languages.Spans(model).label(["Σήμερα τον", "회의에서", "the budget", "это не то"])] == ["el", "ko", "en", "other"]
+
+
+def test_frequent_words_are_counted_by_themselves(spark, samples, monkeypatch):
+    text = {}
+    for r in samples.select("lang", "text").orderBy("sample_id").collect():
+        text.setdefault(r.lang, []).append(r.text)
+    rows = [(" ".join(text[x][:8]) + f" Quorbel{i} Zantrip",) for i in range(20) for x in ("en", "de")]
+    words, sums = languages.corpus_words(spark.createDataFrame(rows, "text string"), languages.fit(samples))
+    names = sorted(text)
+    assert words["zantrip"][[names.index("en"), names.index("de")]].tolist() == [20, 20] and "quorbel1" not in words
+    monkeypatch.setattr(languages, "FREQUENT", 1.0)
+    assert all(v.sum() >= 40 for v in languages.corpus_words(spark.createDataFrame(rows, "text string"), languages.fit(samples))[0].values())
 
 
 def test_labels_and_mixed_documents(spark, samples):

@@ -59,7 +59,10 @@ def _class(*scripts: str) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for name in scripts for a, b in SCRIPTS[name])
 
 
-_TOKEN = re.compile(f"[{_class('Latin')}]+|[{_class('Cyrillic')}]+|[{_class('Han')}]+|[{_class(*[x for x in SCRIPTS if x not in ('Latin', 'Cyrillic', 'Han')])}]+")
+#: A run of letters of one script; Latin ones beside a digit are codes and no words.
+_TOKEN = re.compile(f"(?<![0-9_{_class('Latin')}])[{_class('Latin')}]++(?![0-9_])|[{_class('Cyrillic')}]+|[{_class('Han')}]+|[{_class(*[x for x in SCRIPTS if x not in ('Latin', 'Cyrillic', 'Han')])}]+")
+#: Stray letters between characters that are lost.
+_LOST = re.compile(f"(?<=\ufffd)[{_class(*[x for x in SCRIPTS if x not in ('Latin', 'Han')])}]{{1,3}}|[{_class(*[x for x in SCRIPTS if x not in ('Latin', 'Cyrillic', 'Han')])}]{{1,3}}(?=\ufffd)")
 _SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]*(?:[\"”’»）)}]+)?\s*")
 _KEPT = 300_000
 #: Share of the documents (and least number) a word must occur in before the corpus says more about it than its
@@ -318,7 +321,7 @@ def _repairer(pairs: tuple) -> Callable[[list[str]], list[str]]:
 
     def clean(texts: list[str]) -> list[str]:
         out = encoding.repair_texts(finder, texts)
-        return [lookalikes.one_form(t) for t in out]
+        return [_LOST.sub(lambda m: "\ufffd" * len(m[0]), f) if "\ufffd" in (f := lookalikes.one_form(t)) else f for t in out]
 
     return clean
 

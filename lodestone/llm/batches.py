@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one call handles; bounds a Python worker's memory whatever the number of rows in a batch.
 SLICE_BYTES = 8_000_000
@@ -26,7 +27,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(start)
 
 
-def map_text(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_text(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``make()`` is called once per task and gives what turns one slice of rows into result rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

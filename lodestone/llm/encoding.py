@@ -14,6 +14,7 @@ garbled in any case; they may not be recoverable.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -65,6 +66,8 @@ _ONE = [c for c, rights in INVERSE.items() if "utf-8" in rights and c not in ("g
 _TWO = [c for c in INVERSE if c in ("gb18030", "big5", "cp932", "cp949")]
 #: So many adjacent characters of the upper half of Latin-1 are bytes of another encoding, not words.
 _ALL_HIGH = 4
+#: Runs of ideographs or of other characters beyond ASCII.
+_ALIKE = re.compile(r"[\u2e80-\uffee]{2,}|[^\x00-\x7f\ufffd\u2e80-\uffee]{2,}")
 _SPAN = re.compile(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*[a-z]?")
 
 
@@ -353,12 +356,12 @@ class Finder:
         touching = [c for c in (before[-1:], after[:1]) if c.isalpha() and c.isascii()]
         return low == len(letters) and bool(touching) or len(letters) >= 4 and low >= 0.7 * len(letters)
 
-    def runs(self, text: str, weights: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """The spans of foreign characters inside the improbable segments, and these segments, both in characters."""
+    def runs(self, text: str, weights: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+        """The spans of foreign characters inside the improbable segments, these segments and the clear ones, in characters."""
         scores = np.clip(self.improbable - weights, -1.5, 3.0)
         segments = improbable_segments(scores)
         if not segments:
-            return [], []
+            return [], [], []
         spans = np.array([m.span() for m in _SPAN.finditer(text)], np.int64).reshape(-1, 2)
         begin, end = spans[:, 0], spans[:, 1]
         # the pair before a span is at begin - 1, the one after it at end - 1
@@ -373,12 +376,12 @@ class Finder:
         # inside a span that is likely as a whole the clear segments stand for themselves
         for a, b in spans[inside & ~unlikely].tolist():
             found |= {(max(a, x), min(b, y)) for x, y in clear if min(b, y) - max(a, x) >= 2}
-        return sorted(found), [(b, e + 1) for b, e in segments]
+        return sorted(found), [(b, e + 1) for b, e in segments], clear
 
     def garbled(self, text: str, weights: np.ndarray) -> list[tuple[int, int, str | None, str]]:
         """``begin, end, repaired, encodings`` of each garbled run; ``repaired`` is null where nothing fits."""
         out = []
-        runs, segments = self.runs(text, weights)
+        runs, segments, clear = self.runs(text, weights)
         for x, y in runs:
             if _CERTAIN.search(text[x:y]):
                 out += [(x + m.start(), x + m.end(), None, "lost") for m in _CERTAIN.finditer(text[x:y]) if m[0] == "\ufffd"]
@@ -386,7 +389,7 @@ class Finder:
             if fixed is None and text[y - 1 : y].isascii():  # without the letter that may have been swallowed
                 y -= 1
                 fixed = self._try(text, x, y)
-            out += [fixed] if fixed else self._parts(text, x, y, segments)
+            out += [fixed] if fixed else self._parts(text, x, y, clear)
         if not out:
             out = [(m.start(), m.end(), None, "lost") for m in _CERTAIN.finditer(text)]
         return sorted(set(out) | set(self._alike(text, out, segments)))
@@ -402,12 +405,13 @@ class Finder:
         it has part in any segment, however short.
         """
         done = [(a, b) for a, b, new, _ in found if new is not None]
+        ends = [y if x < y else 0 for x, y in segments] or [0]
         for wrong, right in {tuple(e.split(" > ")) for *_, new, e in found if new is not None}:
             if right != "utf-8":
                 continue
             for m in re.finditer(r"[^\x00-\x7f\ufffd]{2,}", text):
                 a, b = m.span()
-                if any(x < b and a < y for x, y in done) or not any(x < b and a < y for x, y in segments):
+                if any(x < b and a < y for x, y in done) or not ends[max(0, bisect_left(segments, (b,)) - 1)] > a:
                     continue
                 fixed = m[0]
                 for codec in wrong.split():
@@ -427,11 +431,13 @@ class Finder:
         """The pieces of a span that can be repaired by themselves: between characters that are lost or ASCII, of ideographs
         or of none, and inside the improbable segments, with and without the characters at their ends."""
         pieces = [m.span() for m in re.finditer(r"[^\x00-\x7f\ufffd]+", text[a:b])]
-        pieces += [m.span() for m in re.finditer(r"[\u2e80-\uffee]+|[^\x00-\x7f\ufffd\u2e80-\uffee]+", text[a:b])]
-        for x, y in segments:
+        pieces += [m.span() for m in _ALIKE.finditer(text[a:b])]
+        for x, y in segments[max(0, bisect_left(segments, (a,)) - 1) :]:
+            if x >= b:
+                break
             x, y = max(a, x), min(b, y)
             if y - x >= 2:
-                for m in re.finditer(r"[\u2e80-\uffee]{2,}|[^\x00-\x7f\ufffd\u2e80-\uffee]{2,}", text[x:y]):
+                for m in _ALIKE.finditer(text[x:y]):
                     u, v = x + m.start() - a, x + m.end() - a
                     pieces += [(u, v), (u + 1, v), (u, v - 1), (u + 1, v - 1)]
         out, done = [], [(a, b)]
@@ -456,9 +462,16 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
     # certain marks and runs of UTF-8 read wrongly are tested, however probable
     begin, end, certain = _upper(codes)
     sure = np.concatenate([certain, np.array([a for a, *_ in _misread(texts, codes, begin, end)[1]], np.int64)])
-    hot[np.searchsorted(begins, sure, "right") - 1] = True
+    marked = np.searchsorted(begins, sure, "right") - 1
+    hot[marked] = True
+    marked = set(marked.tolist())
     for i in np.flatnonzero(hot).tolist():
         text = texts[i]
+        if i not in marked and (plain := one_form(text)) != text:  # disguised: is anything improbable in its one form?
+            seen, _ = _codes([plain])
+            at = np.flatnonzero((seen[:-1] > 0) & (seen[1:] > 0) & ((seen[:-1] > 127) | (seen[1:] > 127)))
+            if not (finder.weights.of_pairs(seen[at], seen[at + 1]) < finder.improbable).any():
+                continue
         own = np.where(foreign[edges[i] : edges[i + 1] - 1], weights[edges[i] : edges[i + 1] - 1], 0.0)[: max(0, len(text) - 1)]
         if runs := finder.garbled(text, own):
             yield i, runs

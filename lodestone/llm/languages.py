@@ -186,22 +186,32 @@ class Model:
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best labels of a row of words: the sum of their scores less ``switch`` for every change."""
-    n, k = scores.shape
-    back = np.empty((n, k), np.int8)
-    total = scores[0].astype(float)
-    stay = np.arange(k)
-    for t in range(1, n):
-        best = int(total.argmax())
-        moved = total[best] - switch
-        from_best = total < moved
-        back[t] = np.where(from_best, best, stay)
-        total = np.where(from_best, moved, total) + scores[t]
+    return viterbi_rows(scores, np.array([0]), np.array([len(scores)]), switch)
+
+
+def viterbi_rows(scores: np.ndarray, begin: np.ndarray, end: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The same for many rows side by side, row ``i`` being the words from ``begin[i]`` to ``end[i]``; other words get 0."""
+    order = np.argsort(begin - end, kind="stable")  # the longest first, so that those still going on are the first ones
+    begin, size = begin[order], (end - begin)[order]
+    k = scores.shape[1]
+    back = np.empty(scores.shape, np.int8)
+    total = scores[begin].astype(float)
+    stay, rows = np.arange(k), np.arange(len(begin))
+    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), "left")  # how many rows have more words than t
+    for t in range(1, len(live) - 1):
+        m = live[t]
+        best = total[:m].argmax(1)
+        moved = total[rows[:m], best] - switch
+        from_best = total[:m] < moved[:, None]
+        back[begin[:m] + t] = np.where(from_best, best[:, None], stay)
+        total[:m] = np.where(from_best, moved[:, None], total[:m]) + scores[begin[:m] + t]
         if t % 4096 == 0:
-            total -= total.max()
-    path = np.empty(n, np.int64)
-    path[-1] = int(total.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+            total[:m] -= total[:m].max(1, keepdims=True)
+    path = np.zeros(len(scores), np.int64)
+    path[begin + size - 1] = total.argmax(1)
+    for t in range(len(live) - 2, 0, -1):
+        at = begin[: live[t]] + t
+        path[at - 1] = back[at, path[at]]
     return path
 
 
@@ -239,6 +249,8 @@ class Spans:
         edge, scores, sums, main = self.scored(texts)
         same = _constant(scores, edge, main, SWITCH) if len(scores) else np.ones(len(texts), bool)
         totals = sums[edge[1:]] - sums[edge[:-1]]
+        mixed = np.flatnonzero(~same & (edge[1:] > edge[:-1]))
+        path = viterbi_rows(scores, edge[mixed], edge[mixed + 1]) if len(mixed) else np.zeros(0, np.int64)
         out = []
         for i, text in enumerate(texts):
             a, b = int(edge[i]), int(edge[i + 1])
@@ -248,7 +260,7 @@ class Spans:
                 sure = _confidence(totals[i], b - a, int(main[i]))
                 out.append((int(main[i]), sure, [(0, len(text), int(main[i]), sure)]))
             else:
-                out.append(self._mixed(scores[a:b], sums[a : b + 1], *_sentences(text)))
+                out.append(self._mixed(path[a:b], scores[a:b], sums[a : b + 1], *_sentences(text)))
         return out
 
     def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -260,8 +272,7 @@ class Spans:
         sums = np.concatenate([np.zeros((1, len(self.model.languages))), np.cumsum(scores, axis=0, dtype=float)])
         return edge, scores, sums, (sums[edge[1:]] - sums[edge[:-1]]).argmax(1)
 
-    def _mixed(self, scores: np.ndarray, sums: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, float, list[tuple[int, int, int, float]]]:
-        path = viterbi(scores)
+    def _mixed(self, path: np.ndarray, scores: np.ndarray, sums: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, float, list[tuple[int, int, int, float]]]:
         begins = np.concatenate([[0], ends[:-1]])
         told = -scores.min(1)  # words that tell nothing have no say
         votes = np.stack([np.concatenate([[0.0], np.cumsum(np.where(path == k, told + 1e-3, 0))]) for k in range(scores.shape[1])], axis=1)
@@ -337,20 +348,24 @@ def corpus_words(rows: DataFrame, sentences: list[tuple[str, str]]) -> tuple[dic
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_ = Spans(Model(sentences, guess=False))
-        model, k, documents, held = spans_.model, len(names), 0, {}
+        model, k, documents, counted = spans_.model, len(names), 0, np.zeros((0, len(names)), np.int64)
 
         def handed() -> pa.RecordBatch:
-            table = np.array(list(held.values()), np.int64).reshape(-1, k)
-            size = np.zeros((len(held), 1), np.int64)
-            words = list(held)
-            if documents:
-                words.append(None)
-                table = np.concatenate([table, np.zeros((1, k), np.int64)])
-                size = np.concatenate([size, [[documents]]])
-            every = np.concatenate([size, table], axis=1)
-            return pa.record_batch([pa.array(words, pa.string()), *[pa.array(every[:, i].copy(), pa.int64()) for i in range(k + 1)]], names=["word", *fields])
+            held: dict[str, np.ndarray] = {}
+            for word, i in model.known.items():
+                if i < len(counted) and counted[i].any() and model.countable(word):
+                    low = word.lower()
+                    held[low] = held[low] + counted[i] if low in held else counted[i]
+            every = np.zeros((len(held) + 1, k + 1), np.int64)
+            every[-1, 0] = documents
+            for i, row in enumerate(held.values()):
+                every[i, 1:] = row
+            return pa.record_batch([pa.array([*held, None], pa.string()), *[pa.array(every[:, i].copy(), pa.int64()) for i in range(k + 1)]], names=["word", *fields])
 
         for batch in sliced(batches, "text"):
+            if len(model.known) > _KEPT:  # the model is about to forget its words
+                yield handed()
+                documents, counted = 0, counted[:0]
             texts = batch.column("text").to_pylist()
             documents += len(texts)
             edge, _, _, main = spans_.scored(texts)
@@ -359,15 +374,9 @@ def corpus_words(rows: DataFrame, sentences: list[tuple[str, str]]) -> tuple[dic
             word, doc = at // len(texts), at % len(texts)
             lang = main[doc]
             sums = np.bincount(word[lang < k] * k + lang[lang < k], minlength=len(model.table) * k).reshape(-1, k)
-            for w, i in model.known.items():
-                if i < len(sums) and sums[i].any() and model.countable(w):
-                    low = w.lower()
-                    mine = held.get(low)
-                    held[low] = sums[i].copy() if mine is None else mine + sums[i]
-            if len(held) > _KEPT:
-                yield handed()
-                held, documents = {}, 0
-        if held or documents:
+            sums[: len(counted)] += counted
+            counted = sums
+        if documents:
             yield handed()
 
     types = ", ".join(f"{f} bigint" for f in fields)

@@ -45,6 +45,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(lookalikes.lookalike_pairs, table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = lookalikes.lookalike_groups(table(spark, sf_dir, "chunks"), "id", "text").withColumn("kind", F.lit("chunk"))
+    b = lookalikes.lookalike_groups(table(spark, sf_dir, "documents"), "doc_id", "name").withColumn("kind", F.lit("name"))
+    return a.unionByName(b).select("kind", "key", "class_id", "spelling_id", "spellings")
+
+
 def p3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalize_column(table(spark, sf_dir, "documents").select("doc_id", "name"), "name", "one_form")
 

@@ -24,6 +24,8 @@ OVERLAP = 100
 #: Buckets of the hashed word counts, and characters in a block on either side of a boundary.
 BUCKETS = 128
 BLOCK = 300
+#: Boundaries that are compared at a time: bounds the memory of a text of any length.
+SENTENCES = 4_096
 
 _SENTENCE = re.compile(r"(?:[。！？；]|[.!?…](?=\s|$)|\n|(?<=\})\r)[\"'”’»）)\]}]*\s*")
 _CLAUSE = re.compile(r"[，、,;:：](?=\s|[^\x00-\x7f])\s*|\s[–—-]\s")
@@ -45,17 +47,23 @@ def _words(sentence: str) -> list[str]:
 def valleys(text: str, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """How deep the cohesion falls at each of the boundaries ``ends``; 0 where it does not fall."""
     edges = np.concatenate([[0], ends, [len(text)]])
-    counts = np.zeros((len(edges), BUCKETS))
-    for i in range(len(edges) - 1):
-        for word in _words(text[edges[i] : edges[i + 1]]):
-            counts[i + 1, zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS] += 1
-    total = np.cumsum(counts, axis=0)
     lo = np.searchsorted(edges, ends - block, "left")
     hi = np.minimum(np.searchsorted(edges, ends + block, "right") - 1, len(edges) - 1)
     at = np.arange(1, len(ends) + 1)
-    before, after = total[at] - total[np.minimum(lo, at - 1)], total[np.maximum(hi, at + 1)] - total[at]
-    norm = np.sqrt((before**2).sum(1) * (after**2).sum(1))
-    alike = np.divide((before * after).sum(1), norm, out=np.zeros(len(ends)), where=norm > 0)
+    lo, hi = np.minimum(lo, at - 1), np.maximum(hi, at + 1)
+    alike = np.zeros(len(ends))
+    for first in range(0, len(ends), SENTENCES):  # so many at a time, with the blocks beside them
+        own = slice(first, first + SENTENCES)
+        begin, end = int(lo[own].min()), int(hi[own].max())
+        counts = np.zeros((end - begin + 1, BUCKETS))
+        for i in range(begin, end):
+            for word in _words(text[edges[i] : edges[i + 1]]):
+                counts[i + 1 - begin, zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS] += 1
+        total = np.cumsum(counts, axis=0)
+        here = total[at[own] - begin]
+        before, after = here - total[lo[own] - begin], total[hi[own] - begin] - here
+        norm = np.sqrt((before**2).sum(1) * (after**2).sum(1))
+        alike[own] = np.divide((before * after).sum(1), norm, out=np.zeros(len(here)), where=norm > 0)
     return _climb(alike) + _climb(alike[::-1])[::-1] - 2 * alike
 
 
@@ -126,7 +134,8 @@ def resplit(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     """``document_id, position, chunk_id, piece, text``: all chunks with the oversized ones cut, positions counted anew.
 
     Positions run from 0 within a document, in the order of the old position, chunk and piece; a null position comes
-    last. Repeated rows count once; null texts keep their row; null documents form one group. Numbering works over
+    last. Repeated rows count once; null texts keep their row; null documents form one group; rows with a null id cannot be
+    told apart and are left out. Numbering works over
     range partitions, so one document may hold any share of the chunks; the text is shuffled once.
     """
     once = chunks.where("id is not null").select("id", "document_id", "position", "text").dropDuplicates(["id"])

@@ -207,6 +207,16 @@ def test_lookalike_pairs(spark):
     assert [r.o for r in lookalikes.normalize_column(df, "name", "o").where("doc_id is null or doc_id in (2, 4)").orderBy("doc_id").collect()] == ["Pass", "Pass", "Pass", None]
 
 
+def test_lookalike_groups_and_many_copies(spark):
+    n = lookalikes.EXPAND + 5
+    rows = [(i, "Pass") for i in range(n)] + [(100, "Рass"), (101, "Рass"), (102, "alone")]
+    df = spark.createDataFrame(rows, "doc_id bigint, name string")
+    assert {tuple(r) for r in lookalikes.lookalike_pairs(df, "doc_id", "name").collect()} == {(0, 100), (0, 101)}
+    assert lookalikes.lookalike_pairs(df, "doc_id", "name", None).count() == 2 * n
+    got = {tuple(r) for r in lookalikes.lookalike_groups(df, "doc_id", "name").collect()}
+    assert got == {(i, 0, 0, 2) for i in range(n)} | {(i, 0, 100, 2) for i in (100, 101)}
+
+
 # -- fusion ------------------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +271,14 @@ def test_cut_at_the_only_sentence_end_of_the_window(after):
     assert all(a1 < a2 <= b1 < b2 for (a1, b1), (a2, b2) in itertools.pairwise(cuts)) and all(b - a <= 800 for a, b in cuts)
 
 
+def test_valleys_do_not_depend_on_the_slices(monkeypatch):
+    text = ". ".join(prose(9) for _ in range(80))
+    ends = np.array([i + 2 for i in range(len(text)) if text[i : i + 2] == ". "])
+    whole = splitting.valleys(text, ends)
+    monkeypatch.setattr(splitting, "SENTENCES", 7)
+    assert np.allclose(whole, splitting.valleys(text, ends))
+
+
 def test_early_sentence_ends_move_on():
     for seed in range(200):
         rng = random.Random(seed)

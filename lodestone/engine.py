@@ -106,29 +106,28 @@ class SearchEngine:
         version = self.store.version()
         t = self.store.read(version)
         folders = self.spark.createDataFrame([(r,) for r in self.roots], "path string")
-        seen, status = files.scan_roots(self.spark, self.roots)
+        seen, status, failed = files.scan_roots(self.spark, self.roots)
         scan = self._timed("scan", lambda: seen.join(sync.longest_root(seen, folders).toDF("path", "own"), "path").where("root = own").drop("own"))
         complete = status.where("complete").select("root")
         kept = t["documents"].join(folders.withColumnRenamed("path", "root"), "root", "left_semi")
         gone = sync.orphaned_by_roots(t["documents"], folders).select("id").unionByName(sync.vanished(kept, scan, complete).select("id"))
         jobs = sync.changed_files(scan, kept)
-        missing = status.where(~F.col("complete")).select(F.col("root").alias("path"), T.classify_failure(F.col("reason")).alias("category"), "reason")
+        missing = sync.failures_of(failed)
         return self._apply(version, t, jobs, gone, missing, fresh_failures=True, directories=folders)
 
     def apply_changes(self, paths: DataFrame) -> int:
         """Handle changed paths: files are read anew if they differ, folders walked, missing paths removed with all below.
 
-        Paths under no root are passed over. Doing it twice changes nothing but the time of the last index.
+        Only these paths are looked at. A folder that cannot be read keeps its documents. Paths under no root are passed over. Doing it twice changes nothing but the time of the last index.
         """
         with self._busy:
             version = self.store.version()
             t = self.store.read(version)
             folders = self.spark.createDataFrame([(r,) for r in self.roots], "path string")
-            seen, _ = files.scan_roots(self.spark, self.roots)
-            files_now = seen.join(sync.longest_root(seen, folders).toDF("path", "own"), "path").where("root = own").drop("own")
-            named = sync.below_any(files_now, paths)
-            touched = sync.below_any(t["documents"], paths)
-            gone = touched.join(files_now.select("path"), "path", "left_anti").select("id")
+            seen, read = files.scan_paths(paths)
+            named = seen.join(sync.longest_root(seen, folders), "path").select("path", "root", "modified_ms", "size")
+            touched = sync.below_any(t["documents"], read)
+            gone = touched.join(named.select("path"), "path", "left_anti").select("id")
             return self._apply(version, t, sync.changed_files(named, t["documents"], BUCKETS), gone, None, fresh_failures=False)
 
     def _apply(self, version: int, t: dict[str, DataFrame], jobs: DataFrame, gone: DataFrame, failed: DataFrame | None, fresh_failures: bool, directories: DataFrame | None = None) -> int:
@@ -152,27 +151,17 @@ class SearchEngine:
         new = prepared.drop("chunks").join(embedded, "id", "left").withColumn("indexed_at", now)
         out = gone.select("id").unionByName(prepared.select("id")).distinct()
         owners = out.withColumnRenamed("id", "document_id")
-        rest_docs, rest_chunks, rest_vectors = sync.cascade(out, t["documents"], t["chunks"], t["vectors"])
-        postings = keyword.Postings(t["postings"], t["lengths"])
-        rest_postings, added = keyword.delete_postings(postings, owners), keyword.build_postings(fresh, names)
+        added = keyword.build_postings(fresh, names)
         bad = read.where("reason is not null").select("path", "category", "reason").withColumn("updated_at", now)
         if failed is not None:
             bad = bad.unionByName(failed.withColumn("updated_at", now))
         solved = t["failures"].join(prepared.select("path"), "path", "left_anti")
         settings = self.spark.createDataFrame([("embedding_profile", PROFILE)], "key string, value string").unionByName(self.spark.range(1).select(F.lit("last_indexed").alias("key"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("value")))
-        changed = {
-            "documents": rest_docs.select(*new.columns).unionByName(new),
-            "chunks": rest_chunks.unionByName(parts),
-            "vectors": rest_vectors.unionByName(vectors),
-            "document_vectors": t["document_vectors"].join(owners, "document_id", "left_anti").unionByName(own),
-            "postings": rest_postings.terms.unionByName(added.terms),
-            "lengths": rest_postings.lengths.unionByName(added.lengths),
-            "failures": bad if fresh_failures else sync.record_failures(solved, bad),
-            "settings": sync.put_settings(t["settings"], settings),
-        }
+        rows = {"documents": new, "chunks": parts, "vectors": vectors, "document_vectors": own, "postings": added.terms, "lengths": added.lengths}
+        whole = {"failures": bad if fresh_failures else sync.record_failures(solved, bad), "settings": sync.put_settings(t["settings"], settings)}
         if directories is not None:
-            changed["directories"] = directories.distinct()
-        return self.store.commit(version, changed)
+            whole["directories"] = directories.distinct()
+        return self.store.change(version, owners, rows, whole)
 
     def rebuild(self) -> int:
         """Make the inverted index anew from the tables."""

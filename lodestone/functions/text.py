@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode's white space, the file formats, the CJK ranges, the failure rules and the snippet window.
+from lodestone.sources.extraction import FORMATS
+
+# Unicode's white space, the CJK ranges, the failure rules and the snippet window.
 WHITE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-FORMATS = ["txt", "md", "csv", "json", "log", "rst", "pdf", "docx", "xlsx", "pptx"]
 CJK = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}]"
 FAILURES = [
     ("encrypted", ["encrypt", "password", "加密"]),

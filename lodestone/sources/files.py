@@ -2,214 +2,267 @@
 
 from __future__ import annotations
 
-import io
-import multiprocessing
+import os
+import selectors
+import stat
 import struct
-import xml.parsers.expat
-import zipfile
+import subprocess
+import sys
+import time
 from collections.abc import Iterable, Iterator
+from json import loads
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.runtime import cut
+from lodestone.sources import extraction
+from lodestone.sources.extraction import OFFICE, decode_bytes, extract_text, markup_text, office_text, plain_lines  # noqa: F401
 
-# The largest file, the time an office file may take, the bytes searched for PDF's encryption mark.
+# The largest file, the time an office file may take.
 MOST_BYTES = 200 * 1024 * 1024
 DEADLINE_S = 180
-PDF_TAIL, PDF_MARK = 128 * 1024, b"/Encrypt"
-LINE_ENDS = {"p", "tr", "row"}
-OFFICE = {"pdf", "docx", "xlsx", "pptx"}
 SCAN = "path string, root string, modified_ms bigint, size bigint"
+_FOUND = SCAN + ", kind string, reason string"
+_ROWS = 1_000
 
 
-def scan_roots(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``path, root, modified_ms, size`` of the supported files below the roots, and ``root, complete, reason``.
+def _remote(path: str) -> tuple[object, str] | None:
+    """The file system of a path with a scheme and the path in it; ``None`` for a local one."""
+    if "://" not in path or path.startswith("file:"):
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
 
-    A root that is missing is offline: it is not complete and gives no file.
-    """
-    files, status = spark.createDataFrame([], SCAN), []
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for root in dict.fromkeys(roots):
-        at = jvm.org.apache.hadoop.fs.Path(root)
-        there = at.getFileSystem(conf).exists(at)
-        status.append((root, bool(there), None if there else "directory not found: offline"))
-        if not there:
-            continue
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-        plain = F.regexp_replace("path", "^file:(//)?", "")
-        rows = found.select(plain.alias("path"), F.lit(root).alias("root"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size"))
-        files = files.unionByName(rows.where(T.is_supported(F.col("path"))))
-    return files, spark.createDataFrame(status, "root string, complete boolean, reason string")
-
-
-def decode_bytes(data: bytes) -> str:
-    """Text by its byte order mark, else UTF-8 if valid, else GB18030; what cannot be decoded is replaced."""
-    if data.startswith(b"\xef\xbb\xbf"):
-        return data[3:].decode("utf-8", "replace")
-    if data.startswith(b"\xff\xfe"):
-        return data[2:].decode("utf-16-le", "replace")
-    if data.startswith(b"\xfe\xff"):
-        return data[2:].decode("utf-16-be", "replace")
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("gb18030", "replace")
 
+def _local(path: str) -> str:
+    return path[5:].replace("//", "/", 1) if path.startswith("file:") else path
 
-def markup_text(xml_source: str | bytes) -> str:
-    """The text of XML: its pieces trimmed and joined by spaces, a new line after each paragraph, row or table row.
 
-    Tags are compared with their prefix, so only unprefixed ones end a line; CDATA is passed over.
+def list_folder(path: str) -> Iterator[tuple[str, str, int | None, int | None, str | None]]:
+    """``path, kind, modified_ms, size, reason`` of everything in a folder, whatever its name; links are not followed.
+
+    ``kind``: ``file``, ``folder`` or ``error``, which is what could not be read, with its reason.
     """
-    out: list[str] = []
-    piece: list[str] = []
-    state = {"cdata": False}
-
-    def flush() -> None:
-        value = "".join(piece).strip()
-        piece.clear()
-        if value:
-            if out:
-                out.append(" ")
-            out.append(value)
-
-    def end(name: str) -> None:
-        flush()
-        if name in LINE_ENDS:
-            out.append("\n")
-
-    parser = xml.parsers.expat.ParserCreate()
-    parser.buffer_text = True
-    parser.CharacterDataHandler = lambda data: None if state["cdata"] else piece.append(data)
-    parser.StartElementHandler = lambda *_: flush()
-    parser.EndElementHandler = end
-    parser.CommentHandler = lambda _: flush()
-    parser.ProcessingInstructionHandler = lambda *_: flush()
-    parser.StartCdataSectionHandler = lambda: (flush(), state.update(cdata=True))
-    parser.EndCdataSectionHandler = lambda: state.update(cdata=False)
-    parser.Parse(xml_source, True)
-    return "".join(out)
-
-
-def _digits(name: str) -> int:
-    number = "".join(c for c in name if c in "0123456789")
-    return int(number) if number and int(number) < 1 << 64 else 0
-
-
-def _is_part(name: str, kind: str) -> bool:
-    if kind == "docx":
-        return name == "word/document.xml"
-    if kind == "pptx":
-        return name.startswith("ppt/slides/slide") and name.endswith(".xml")
-    return name == "xl/sharedStrings.xml" or (name.startswith("xl/worksheets/sheet") and name.endswith(".xml"))
-
-
-def office_text(data: bytes, kind: str) -> str:
-    """The text of a Word, PowerPoint or Excel file: its parts in the order of the numbers in their names."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as error:
-        raise ValueError("invalid zip archive") from error
-    out = []
-    with archive:
-        for name in sorted((n for n in archive.namelist() if _is_part(n, kind)), key=_digits):
-            found = markup_text(archive.read(name))
-            if found:
-                out.append(found + "\n")
-    return "".join(out)
-
-
-def pdf_text(data: bytes) -> str:
-    """The text of a PDF, by pypdf where it is installed; encrypted files are refused."""
-    if PDF_MARK in data[-PDF_TAIL:]:
-        raise ValueError("document is encrypted")
+    remote = _remote(path)
+    if remote is not None:
+        from pyarrow import fs
+
+        system, inner = remote
+        scheme = path[: len(path) - len(inner)] if path.endswith(inner) else path.split("://")[0] + "://"
+        try:
+            for info in system.get_file_info(fs.FileSelector(inner)):
+                kind = {fs.FileType.Directory: "folder", fs.FileType.File: "file"}.get(info.type)
+                if kind:
+                    yield scheme + info.path, kind, info.mtime_ns // 1_000_000 if info.mtime_ns else None, info.size, None
+        except OSError as error:
+            yield path, "error", None, None, str(error)
+        return
     try:
-        from pypdf import PdfReader
-    except ImportError as error:
-        raise ValueError("no PDF reader is installed") from error
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
-
-
-def plain_lines(value: str) -> str:
-    """The same normal form as the column function of that purpose."""
-    return "\n".join(line for line in (" ".join(x.split()) for x in value.split("\n")) if line)
-
-
-def extract_text(data: bytes, extension: str) -> str:
-    """The normalised text of a file; an error if there is none."""
-    kind = extension.lower()
-    if kind == "pdf":
-        value = pdf_text(data)
-    elif kind in OFFICE:
-        value = office_text(data, kind)
-    elif kind in T.FORMATS:
-        value = decode_bytes(data)
-    else:
-        raise ValueError(f"unsupported format: {extension}")
-    value = plain_lines(value)
-    if not value:
-        raise ValueError("no text was found")
-    return value
-
-
-def _child(data: bytes, extension: str, pipe) -> None:  # noqa: ANN001
+        with os.scandir(_local(path)) as entries:
+            for entry in entries:
+                try:
+                    seen = entry.stat(follow_symlinks=False)
+                except OSError as error:
+                    yield entry.path, "error", None, None, str(error)
+                    continue
+                if stat.S_ISDIR(seen.st_mode):
+                    yield entry.path, "folder", None, None, None
+                elif stat.S_ISREG(seen.st_mode):
+                    yield entry.path, "file", seen.st_mtime_ns // 1_000_000, seen.st_size, None
+    except OSError as error:
+        yield path, "error", None, None, str(error)
+
+
+def state_of(path: str) -> tuple[str, int | None, int | None]:
+    """``kind, modified_ms, size`` of one path; ``kind`` is ``missing`` where there is nothing."""
+    remote = _remote(path)
+    if remote is not None:
+        from pyarrow import fs
+
+        info = remote[0].get_file_info(remote[1])
+        kind = {fs.FileType.Directory: "folder", fs.FileType.File: "file", fs.FileType.NotFound: "missing"}.get(info.type, "other")
+        return kind, info.mtime_ns // 1_000_000 if info.mtime_ns else None, info.size
     try:
-        pipe.send((extract_text(data, extension), None))
-    except Exception as error:  # noqa: BLE001
-        pipe.send((None, str(error) or type(error).__name__))
+        seen = os.stat(_local(path))
+    except OSError:
+        return "missing", None, None
+    kind = "folder" if stat.S_ISDIR(seen.st_mode) else "file" if stat.S_ISREG(seen.st_mode) else "other"
+    return kind, seen.st_mtime_ns // 1_000_000, seen.st_size
 
 
-def extract_isolated(data: bytes, extension: str, deadline: float = DEADLINE_S) -> tuple[str | None, str | None]:
-    """Text or reason; office files and PDFs are read in a process of their own that is ended at its deadline."""
-    if extension.lower() not in OFFICE:
+def _walked(folders: DataFrame, deep: bool) -> DataFrame:
+    """``_FOUND`` below ``path`` for each row of ``path, root``: what is in the folders, or all the way down."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                waiting = [row["path"]]
+                while waiting:
+                    for path, kind, ms, size, reason in list_folder(waiting.pop()):
+                        if kind == "folder" and deep:
+                            waiting.append(path)
+                            continue
+                        held.append((path, row["root"], ms, size, kind, reason))
+                        if len(held) >= _ROWS:
+                            yield _batch(held)
+                            held = []
+        if held:
+            yield _batch(held)
+
+    return folders.select("path", "root").mapInArrow(run, _FOUND)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _all_below(folders: DataFrame) -> DataFrame:
+    """Everything below the folders: their own entries first, so that subfolders are walked by tasks of their own."""
+    top = cut(_walked(folders.repartition("path"), deep=False))
+    return top.where("kind <> 'folder'").unionByName(_walked(top.where("kind = 'folder'").select("path", "root").repartition("path"), deep=True))
+
+
+def _states(paths: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, None, ms, size, kind, None) for p in batch.column("path").to_pylist() for kind, ms, size in [state_of(p)]]
+            if rows:
+                yield _batch(rows)
+
+    return paths.where("path is not null").select("path").distinct().mapInArrow(run, _FOUND)
+
+
+def scan_roots(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``path, root, modified_ms, size`` of the supported files below the roots; ``root, complete``; ``path, reason`` of failures.
+
+    A root that is no folder is offline: it is not complete and gives no file. What cannot be read in a root is a failure
+    and makes it incomplete; the rest of it is read. Hidden files count, links are not followed.
+    """
+    known = _states(spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path string"))
+    known = cut(known)
+    folders = known.where("kind = 'folder'").select("path", F.col("path").alias("root"))
+    found = cut(_all_below(folders))
+    files = found.where((F.col("kind") == "file") & T.is_supported(F.col("path"))).select("path", "root", "modified_ms", "size")
+    errors = found.where("kind = 'error'")
+    broken = errors.select("root").distinct()
+    complete = folders.select("root").join(broken, "root", "left_anti").select("root", F.lit(True).alias("complete"))
+    partly = known.select(F.col("path").alias("root")).join(complete, "root", "left").select("root", F.coalesce("complete", F.lit(False)).alias("complete"))
+    offline = known.where("kind <> 'folder'").select("path", F.lit("directory not found: offline").alias("reason"))
+    return files, partly, errors.select("path", "reason").unionByName(offline)
+
+
+def scan_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``path, modified_ms, size`` of the supported files that the paths are or hold, and the paths that were read without failure.
+
+    Only these paths are looked at, not the roots they lie in. A path that is missing was read: it holds nothing.
+    """
+    known = cut(_states(paths))
+    below = cut(_all_below(known.where("kind = 'folder'").select("path", F.col("path").alias("root"))))
+    files = known.where("kind = 'file'").unionByName(below.where("kind = 'file'")).where(T.is_supported(F.col("path")))
+    broken = below.where("kind = 'error'").select(F.col("root").alias("path")).distinct()
+    return files.select("path", "modified_ms", "size").dropDuplicates(["path"]), known.select("path").join(broken, "path", "left_anti")
+
+
+class Extractor:
+    """Reads office files and PDFs in a process of its own, which is ended at a file's deadline and started afresh."""
+
+    def __init__(self, deadline: float = DEADLINE_S) -> None:
+        self.deadline, self.worker = deadline, None
+
+    def __call__(self, data: bytes, extension: str) -> tuple[str | None, str | None]:
+        """Text or reason."""
+        if extension.lower() not in OFFICE:
+            try:
+                return extract_text(data, extension), None
+            except Exception as error:  # noqa: BLE001
+                return None, str(error) or type(error).__name__
+        if self.worker is None:
+            self.worker = subprocess.Popen([sys.executable, extraction.__file__], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        name = extension.encode()
         try:
-            return extract_text(data, extension), None
-        except Exception as error:  # noqa: BLE001
-            return None, str(error) or type(error).__name__
-    context = multiprocessing.get_context("fork")
-    ours, theirs = context.Pipe(duplex=False)
-    worker = context.Process(target=_child, args=(data, extension, theirs), daemon=False)
-    worker.start()
-    theirs.close()
+            self.worker.stdin.write(struct.pack("<IQ", len(name), len(data)) + name + data)
+            self.worker.stdin.flush()
+            until = time.monotonic() + self.deadline
+            head = self._read(8, until)
+            return tuple(loads(self._read(struct.unpack("<Q", head)[0], until)))
+        except TimeoutError:
+            self.close()
+            return None, f"timeout: extraction took more than {self.deadline:g} seconds"
+        except (OSError, EOFError):
+            self.close()
+            return None, "the extraction process ended without a result"
+
+    def _read(self, size: int, until: float) -> bytes:
+        out = bytearray()
+        with selectors.DefaultSelector() as ready:
+            ready.register(self.worker.stdout, selectors.EVENT_READ)
+            while len(out) < size:
+                if not ready.select(max(0.0, until - time.monotonic())):
+                    raise TimeoutError
+                part = os.read(self.worker.stdout.fileno(), min(size - len(out), 1 << 20))
+                if not part:
+                    raise EOFError
+                out += part
+        return bytes(out)
+
+    def close(self) -> None:
+        if self.worker is not None:
+            self.worker.kill()
+            self.worker.communicate()
+            self.worker = None
+
+
+def extract_isolated(data: bytes, extension: str, deadline: float = DEADLINE_S) -> tuple[str | None, str | None]:
+    """Text or reason of one file."""
+    reader = Extractor(deadline)
     try:
-        if not ours.poll(deadline):
-            return None, f"timeout: extraction took more than {deadline:g} seconds"
-        return ours.recv()
-    except EOFError:
-        return None, "the extraction process ended without a result"
+        return reader(data, extension)
     finally:
-        worker.kill()
-        worker.join()
+        reader.close()
+
+
+def read_file(path: str) -> bytes:
+    remote = _remote(path)
+    if remote is not None:
+        with remote[0].open_input_stream(remote[1]) as stream:
+            return stream.read()
+    with open(_local(path), "rb") as file:
+        return file.read()
 
 
 def extract(jobs: DataFrame, deadline: float = DEADLINE_S) -> DataFrame:
     """``path, root, modified_ms, size, text, category, reason``: each file of the scan read, or why it could not be.
 
-    Files over ``MOST_BYTES`` are refused unread. Each file is opened where its row is, so nothing is shuffled and no
-    content passes through the driver.
+    Files over ``MOST_BYTES`` are refused unread. Each file is opened where its row is, on a local disk or by its URI, so
+    nothing is shuffled and no content passes through the driver.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                text, reason = None, None
-                if row["size"] is not None and row["size"] > MOST_BYTES:
-                    reason = "the file is larger than 200 MiB"
-                else:
-                    try:
-                        with open(row["path"], "rb") as file:
-                            data = file.read()
-                        text, reason = extract_isolated(data, row["path"].rpartition(".")[2], deadline)
-                    except PermissionError:
-                        reason = "Permission denied"
-                    except FileNotFoundError:
-                        reason = "No such file"
-                    except OSError as error:
-                        reason = f"offline: {error.strerror}"
-                yield pa.RecordBatch.from_pylist([row | {"text": text, "reason": reason}], schema=schema)
+        reader = Extractor(deadline)
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    text, reason = None, None
+                    if row["size"] is not None and row["size"] > MOST_BYTES:
+                        reason = "the file is larger than 200 MiB"
+                    else:
+                        try:
+                            text, reason = reader(read_file(row["path"]), row["path"].rpartition(".")[2])
+                        except PermissionError:
+                            reason = "Permission denied"
+                        except FileNotFoundError:
+                            reason = "No such file"
+                        except OSError as error:
+                            reason = f"offline: {error.strerror or error}"
+                    yield pa.RecordBatch.from_pylist([row | {"text": text, "reason": reason}], schema=schema)
+        finally:
+            reader.close()
 
     schema = pa.schema([("path", pa.string()), ("root", pa.string()), ("modified_ms", pa.int64()), ("size", pa.int64()), ("text", pa.string()), ("reason", pa.string())])
     out = jobs.select("path", "root", "modified_ms", "size").mapInArrow(run, SCAN + ", text string, reason string")

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 
 from lodestone.engine import BusyError, SearchEngine
-from lodestone.sources import files
+from lodestone.sources import extraction, files, store
 from lodestone.sources.manifest import ConflictError, Manifest
 
 
@@ -99,6 +99,15 @@ def test_engine_over_folders(spark, tmp_path):
     assert sorted(r.name for r in e.documents().collect()) == ["new.md", "搜索需求.txt"]
     assert e.search("完全不同", "keyword").first().name == "搜索需求.txt" and e.search("budget", "keyword").count() == 0
     assert e.reconcile() == []
+    # what is hidden counts as well, a root that is a file is offline
+    (root / "_dir").mkdir()
+    (root / "_dir" / ".c.md").write_text("hidden words")
+    (root / "_b.txt").write_text("underscored words")
+    lone = tmp_path / "lone.txt"
+    lone.write_text("a file is no root")
+    e.sync([str(root), str(lone)])
+    assert {r.name for r in e.documents().collect()} >= {".c.md", "_b.txt", "new.md"}
+    assert {r.path for r in e.failures().where("category = 'offline'").collect()} == {str(lone)}
     e._busy.acquire()
     with pytest.raises(BusyError):
         e.sync()
@@ -111,3 +120,55 @@ def test_legacy_import(spark, tmp_path):
     e = SearchEngine(spark, f"file://{tmp_path}/store")
     assert e.import_legacy(str(tmp_path / "index.json")) and not e.import_legacy(str(tmp_path / "index.json"))
     assert e.store.read()["documents"].first().root == "/a/b" and e.search("hello", "keyword").count() == 1
+
+
+def test_a_folder_that_cannot_be_read_keeps_its_documents(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.txt").write_text("one")
+    (root / "sub" / "b.txt").write_text("two")
+    (root / "link.txt").symlink_to(root / "a.txt")
+    found, status, failed = files.scan_roots(spark, [str(root)])
+    assert {r.path for r in found.collect()} == {str(root / "a.txt"), str(root / "sub" / "b.txt")} and status.first().complete and failed.count() == 0
+    broken = next(files.list_folder(str(root / "nowhere")))
+    assert broken[1] == "error" and "No such file" in broken[4]
+    e = SearchEngine(spark, f"file://{tmp_path}/store", [str(root)])
+    e.sync()
+    os.rename(root / "sub", root / "away")
+    (root / "sub").symlink_to(tmp_path / "dead")
+    status, failed = (x.collect() for x in files.scan_roots(spark, [str(root), str(root / "sub")])[1:])
+    assert {r.root: r.complete for r in status} == {str(root): True, str(root / "sub"): False} and [r.path for r in failed] == [str(root / "sub")]
+
+
+def test_pdf_without_a_library():
+    import zlib
+
+    content = zlib.compress(b"BT /F1 12 Tf 72 720 Td (Annual \\(draft\\) report) Tj 0 -14 Td [(Bud) -20 (get) -400 (total)] TJ ET")
+    cmap = b"1 begincodespacerange <00> <FF> endcodespacerange 2 beginbfchar <01> <672C> <02> <5730> endbfchar"
+    body = b"%PDF-1.4\n1 0 obj << /Type /Pages /Kids [2 0 R 6 0 R] /Count 2 >> endobj\n"
+    body += b"2 0 obj << /Type /Page /Parent 1 0 R /Contents 3 0 R /Resources << /Font << /F1 4 0 R >> >> >> endobj\n"
+    body += b"3 0 obj << /Length %d /Filter /FlateDecode >> stream\n%s\nendstream endobj\n" % (len(content), content)
+    body += b"4 0 obj << /Type /Font >> endobj\n5 0 obj << /Type /Font /ToUnicode 8 0 R >> endobj\n"
+    body += b"6 0 obj << /Type /Page /Parent 1 0 R /Contents 7 0 R /Resources << /Font << /F2 5 0 R >> >> >> endobj\n"
+    body += b"7 0 obj << /Length 30 >> stream\nBT /F2 9 Tf <0102> Tj ET\nendstream endobj\n8 0 obj << >> stream\n%s\nendstream endobj\n%%%%EOF" % cmap
+    assert extraction.plain_pdf_text(body).split("\n")[1:] and files.plain_lines(extraction.plain_pdf_text(body)) == "Annual (draft) report\nBudget total\n本地"
+    with pytest.raises(ValueError, match="invalid"):
+        extraction.plain_pdf_text(b"nothing")
+
+
+def test_store_keeps_what_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "COMPACT", 3)
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    rows = lambda *ids: spark.createDataFrame([(i, f"{d}", 0, t) for i, d, t in ids], "id bigint, document_id string, position int, text string")
+    gone = lambda *ids: spark.createDataFrame([(i,) for i in ids], "document_id string")
+    s.change(0, gone("a"), {"chunks": rows((1, "a", "x"), (2, "b", "y"))}, {})
+    old = s.read()
+    s.change(1, gone("a"), {"chunks": rows((3, "a", "z"))}, {})
+    assert {(r.document_id, r.text) for r in s.read()["chunks"].collect()} == {("b", "y"), ("a", "z")}
+    assert {(r.document_id, r.text) for r in old["chunks"].collect()} == {("a", "x"), ("b", "y")}
+    s.change(2, gone("b"), {"chunks": rows()}, {})
+    s.change(3, gone("c"), {"chunks": rows((4, "c", "w"))}, {})
+    assert {(r.document_id, r.text) for r in s.read()["chunks"].collect()} == {("a", "z"), ("c", "w")}
+    assert len(s._entry(4)["tables"]["chunks"]) == 1 and s._entry(4)["removed"] == []
+    with pytest.raises(ConflictError):
+        s.change(3, gone("c"), {}, {})

@@ -58,6 +58,8 @@ INVERSE = {
 #: Pairs that map one character to one: any text can be read so, so they need letters around them as well.
 SINGLE = {"cp1252", "cp1251", "koi8_r"}
 
+#: A text is looked at if one of its pairs lies so far below the threshold.
+DOUBT = 0.5
 #: Sum of a segment's scores from which it is tested inside a span that is likely as a whole.
 CLEAR = 3.0
 _CERTAIN = re.compile("[\ufffd\ue000-\uf8ff\x80-\x84\x86-\x9f]")
@@ -317,13 +319,13 @@ class Finder:
                 if fixed != span:
                     yield fixed, wrong, right
 
-    def _repair_span(self, before: str, span: str, after: str) -> tuple[str, str, str] | None:
+    def _repair_span(self, before: str, span: str, after: str, disguised: bool) -> tuple[str, str, str] | None:
         """The repaired span with the encodings used, or ``None`` if no inverse mapping makes it more probable."""
         now = self.weights.mean(before[-1:] + span + after[:1])
         if now > self.plausible:
             return None
         whole = before + span + after
-        plain = one_form(whole)
+        plain = one_form(whole) if disguised else whole
         if plain != whole and (as_seen := self.weights.mean(plain)) > self.fluent and as_seen > self.weights.mean(whole) + 0.3:
             return None  # disguised, not garbled: it reads well in its one form
         found, best = None, max(now + GAIN, self.acceptable)
@@ -378,24 +380,27 @@ class Finder:
             found |= {(max(a, x), min(b, y)) for x, y in clear if min(b, y) - max(a, x) >= 2}
         return sorted(found), [(b, e + 1) for b, e in segments], clear
 
-    def garbled(self, text: str, weights: np.ndarray) -> list[tuple[int, int, str | None, str]]:
-        """``begin, end, repaired, encodings`` of each garbled run; ``repaired`` is null where nothing fits."""
+    def garbled(self, text: str, weights: np.ndarray, disguised: bool = True) -> list[tuple[int, int, str | None, str]]:
+        """``begin, end, repaired, encodings`` of each garbled run; ``repaired`` is null where nothing fits.
+
+        ``disguised``: the text may have another one form.
+        """
         out = []
         runs, segments, clear = self.runs(text, weights)
         for x, y in runs:
             if _CERTAIN.search(text[x:y]):
                 out += [(x + m.start(), x + m.end(), None, "lost") for m in _CERTAIN.finditer(text[x:y]) if m[0] == "\ufffd"]
-            fixed = self._try(text, x, y)
+            fixed = self._try(text, x, y, disguised)
             if fixed is None and text[y - 1 : y].isascii():  # without the letter that may have been swallowed
                 y -= 1
-                fixed = self._try(text, x, y)
-            out += [fixed] if fixed else self._parts(text, x, y, clear)
+                fixed = self._try(text, x, y, disguised)
+            out += [fixed] if fixed else self._parts(text, x, y, clear, disguised)
         if not out:
             out = [(m.start(), m.end(), None, "lost") for m in _CERTAIN.finditer(text)]
         return sorted(set(out) | set(self._alike(text, out, segments)))
 
-    def _try(self, text: str, x: int, y: int) -> tuple[int, int, str | None, str] | None:
-        fixed = self.repair_span(text[max(0, x - 3) : x], text[x:y], text[y : y + 3])
+    def _try(self, text: str, x: int, y: int, disguised: bool) -> tuple[int, int, str | None, str] | None:
+        fixed = self.repair_span(text[max(0, x - 3) : x], text[x:y], text[y : y + 3], disguised)
         return (x, y, fixed[0], f"{fixed[1]} > {fixed[2]}") if fixed else None
 
     def _alike(self, text: str, found: list[tuple[int, int, str | None, str]], segments: list[tuple[int, int]]) -> Iterator[tuple[int, int, str | None, str]]:
@@ -427,7 +432,7 @@ class Finder:
                     done.append((a, b))
                     yield a, b, fixed, f"{wrong} > {right}"
 
-    def _parts(self, text: str, a: int, b: int, segments: list[tuple[int, int]]) -> list[tuple[int, int, str | None, str]]:
+    def _parts(self, text: str, a: int, b: int, segments: list[tuple[int, int]], disguised: bool) -> list[tuple[int, int, str | None, str]]:
         """The pieces of a span that can be repaired by themselves: between characters that are lost or ASCII, of ideographs
         or of none, and inside the improbable segments, with and without the characters at their ends."""
         pieces = [m.span() for m in re.finditer(r"[^\x00-\x7f\ufffd]+", text[a:b])]
@@ -445,7 +450,7 @@ class Finder:
             x, y = a + u, a + v
             if y > x and (x, y) not in done and not any(p < y and x < q for p, q, *_ in out):
                 done.append((x, y))
-                if fixed := self._try(text, x, y):
+                if fixed := self._try(text, x, y, disguised):
                     out.append(fixed)
         return out
 
@@ -458,7 +463,7 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
     weights = np.zeros(len(foreign))  # only pairs with a foreign character are asked for
     weights[at] = finder.weights.of_pairs(codes[at], codes[at + 1])
     edges = np.append(begins, len(codes))
-    hot = np.add.reduceat(np.append((weights < finder.improbable) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
+    hot = np.add.reduceat(np.append((weights < finder.improbable - DOUBT) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
     # certain marks and runs of UTF-8 read wrongly are tested, however probable
     begin, end, certain = _upper(codes)
     sure = np.concatenate([certain, np.array([a for a, *_ in _misread(texts, codes, begin, end)[1]], np.int64)])
@@ -467,13 +472,14 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
     marked = set(marked.tolist())
     for i in np.flatnonzero(hot).tolist():
         text = texts[i]
-        if i not in marked and (plain := one_form(text)) != text:  # disguised: is anything improbable in its one form?
+        disguised = (plain := one_form(text)) != text
+        if disguised and i not in marked:  # disguised: is anything improbable in its one form?
             seen, _ = _codes([plain])
             at = np.flatnonzero((seen[:-1] > 0) & (seen[1:] > 0) & ((seen[:-1] > 127) | (seen[1:] > 127)))
             if not (finder.weights.of_pairs(seen[at], seen[at + 1]) < finder.improbable).any():
                 continue
         own = np.where(foreign[edges[i] : edges[i + 1] - 1], weights[edges[i] : edges[i + 1] - 1], 0.0)[: max(0, len(text) - 1)]
-        if runs := finder.garbled(text, own):
+        if runs := finder.garbled(text, own, disguised):
             yield i, runs
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import encoding, fusion, languages, leaks, lookalikes, nearcopies, neighbours, splitting, tokens
@@ -33,6 +33,21 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+_P1_KIND = """
+{kind}_m AS (SELECT DISTINCT {key} AS key, {text} AS text, md5({text}) AS h FROM {table} WHERE {key} IS NOT NULL AND {text} IS NOT NULL AND length({text}) >= {least}),
+{kind}_g AS (SELECT DISTINCT h, substr(text, i, {n}) AS g FROM (SELECT h, text, unnest(range(1, length(text) - {n} + 2)) AS i FROM (SELECT DISTINCT h, text FROM {kind}_m))),
+{kind}_n AS (SELECT h, count(*) AS n FROM {kind}_g GROUP BY h),
+{kind}_l AS (SELECT a.h AS ha, b.h AS hb, count(*) AS c FROM {kind}_g a JOIN {kind}_g b ON a.g = b.g AND a.h < b.h GROUP BY ALL),
+{kind}_p AS (
+  SELECT a.key AS x, b.key AS y FROM {kind}_l JOIN {kind}_n p ON p.h = ha JOIN {kind}_n q ON q.h = hb JOIN {kind}_m a ON a.h = ha JOIN {kind}_m b ON b.h = hb WHERE 10 * c >= 7 * (p.n + q.n - c)
+  UNION ALL SELECT a.key, b.key FROM {kind}_m a JOIN {kind}_m b ON a.h = b.h)"""
+_P1_PARTS = [("chunk", "id", "text", "chunks", 8, 200), ("name", "doc_id", "name", "documents", 3, 0)]
+P1_FOUND = (
+    "WITH " + ",".join(_P1_KIND.format(kind=k, key=c, text=x, table=t, n=n, least=m) for k, c, x, t, n, m in _P1_PARTS)
+    + " UNION ALL ".join(f" SELECT DISTINCT '{k}' AS kind, least(x, y) AS key_a, greatest(x, y) AS key_b FROM {k}_p WHERE x <> y" for k, *_ in _P1_PARTS)
+)
+
+
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, sf_dir, "chunks")).withColumnRenamed("key", "chunk_id")
 
@@ -100,6 +115,22 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.resplit(table(spark, sf_dir, "chunks"))
 
 
+def p5_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of every long chunk must fulfil: none too long, the whole text in order, no gap, numbers without one."""
+    chunks = table(spark, sf_dir, "chunks")
+    pieces = splitting.split_rows(chunks)
+    order = Window.partitionBy("chunk_id").orderBy("piece")
+    each = pieces.withColumn("before", F.lag("end").over(order)).withColumn("place", F.row_number().over(order))
+    sizes = chunks.where("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.max(F.char_length("text")).alias("n"))
+    sums = each.groupBy("chunk_id").agg(
+        F.bool_and((F.col("end") - F.col("begin") <= splitting.LIMIT) & (F.col("end") > F.col("begin"))).alias("short"),
+        F.bool_and((F.col("place") == F.col("piece") + 1) & F.coalesce((F.col("begin") <= F.col("before")) & (F.col("end") > F.col("before")), F.col("begin") == 0)).alias("whole"),
+        F.max("end").alias("last"),
+    )
+    return sums.join(sizes, "chunk_id").select("chunk_id", "short", "whole", (F.col("last") == F.col("n")).alias("ends"))
+
+
+P5_COVERED = "SELECT DISTINCT id AS chunk_id, true AS short, true AS whole, true AS ends FROM chunks WHERE length(text) > 800 AND id IS NOT NULL"
 P5_FOUND = "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 800 AND id IS NOT NULL"
 
 
@@ -153,6 +184,16 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), p9_leaks(spark, sf_dir))
 
 
+_P9 = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT DISTINCT item_id, substr(t, n, 40) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS n FROM i)),
+found AS (SELECT DISTINCT v.doc_id, w.item_id FROM (SELECT doc_id, substr(t, n, 40) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS n FROM d)) v JOIN w USING (g))
+"""
+P9_FOUND = _P9 + "SELECT doc_id, item_id FROM found"
+P9_CLEAN = _P9 + "SELECT doc_id, text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM found)"
+
+
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
@@ -166,4 +207,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p4_ranking": P4_RANKING, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+    return {
+        "p1_found": P1_FOUND,
+        "p4_found": P4_FOUND,
+        "p4_ranking": P4_RANKING,
+        "p5_found": P5_FOUND,
+        "p5_covered": P5_COVERED,
+        "p6_found": P6_FOUND,
+        "p9_found": P9_FOUND,
+        "p9_clean": P9_CLEAN,
+    }

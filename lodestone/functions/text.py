@@ -147,6 +147,11 @@ def format_duration(ms: Column) -> Column:
     )
 
 
+def format_date(ms: Column) -> Column:
+    """The day of a time in milliseconds, of medium length."""
+    return F.date_format(F.timestamp_millis(ms), "MMM d, yyyy")
+
+
 def highlight(text: Column, query: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """The query's first occurrence between marks."""
     at, n = F.instr(F.lower(text), F.lower(query)), F.char_length(query)

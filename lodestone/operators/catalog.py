@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import ascii_lower
 from lodestone.functions.vectors import lacks_vector
+from lodestone.operators.ranking import grouped_rank
 
 
 def page_bounds(offset: int = 0, limit: int = 50) -> tuple[int, int]:
@@ -59,6 +60,49 @@ def directory_list(directories: DataFrame) -> DataFrame:
     return directories.select("path").distinct().orderBy("path")
 
 
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """All chunks by id, repeated rows once."""
+    return chunks.where("id is not null").dropDuplicates(["id"]).orderBy("id")
+
+
+def lookup(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is one of ``wanted`` (its first column): point lookups of any number at once."""
+    keys = wanted.select(F.col(wanted.columns[0]).alias(column)).distinct()
+    return rows.join(keys, column, "left_semi")
+
+
+def document_by_path(documents: DataFrame, path: str) -> DataFrame:
+    return documents.where(F.col("path") == path)
+
+
+def chunk_by_id(chunks: DataFrame, chunk_id: int) -> DataFrame:
+    return chunks.where(F.col("id") == chunk_id).dropDuplicates(["id"])
+
+
+def setting(settings: DataFrame, key: str) -> str | None:
+    found = settings.where(F.col("key") == key).select("value").first()
+    return found[0] if found else None
+
+
+def first_chunks(chunks: DataFrame, first: int) -> DataFrame:
+    """``document_id, id, position, place``: the first chunks of every document, however many it has."""
+    once = chunks.where("id is not null").select("document_id", "id", "position").dropDuplicates(["id"])
+    placed = grouped_rank(once, ["document_id"], [("position", "asc"), ("id", "asc")], "place", ties=False)
+    return placed.where(F.col("place") <= first)
+
+
+def file_totals(scan: DataFrame) -> DataFrame:
+    """``root, files``: how many files each root has."""
+    return scan.groupBy("root").agg(F.count(F.lit(1)).alias("files"))
+
+
+def largest(rows: DataFrame, by: str, key: str, text: str) -> DataFrame:
+    """``by, key, n``: the row with the most characters of each batch; of equal ones the smallest key."""
+    size = F.coalesce(F.char_length(text), F.lit(0))
+    top = F.min(F.struct((-size).alias("n"), F.col(key).alias("k"))).alias("t")
+    return rows.groupBy(by).agg(top).select(by, F.col("t.k").alias(key), (-F.col("t.n")).cast("bigint").alias("n"))
+
+
 def chunks_of(chunks: DataFrame, document_id: str, first: int | None = None) -> DataFrame:
     """A document's chunks in order, or the first of them."""
     rows = chunks.where(F.col("document_id") == document_id).dropDuplicates(["id"]).orderBy("position", "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import catalog, chunking, keyword, search, sync
+from lodestone.operators import catalog, chunking, embedding, keyword, search, sync
 from lodestone.operators import vectors as exact
 from lodestone.runtime import table
 from lodestone.streaming import changes
@@ -466,6 +466,154 @@ def q_supported(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "scanned_files").select("path").distinct().where(T.is_supported(F.col("path"))).select("path", T.stable_id(F.col("path")).alias("id"))
 
 
+# -- parts of the engine ------------------------------------------------------------------------------------------------
+
+
+@_register("q_ordered_chunks", "SELECT DISTINCT id, document_id, position FROM chunks WHERE id IS NOT NULL")
+def q_ordered_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.ordered_chunks(table(spark, sf, "chunks").select("id", "document_id", "position"))
+
+
+@_register("q_lookup_paths", "SELECT doc_id, path FROM documents WHERE path IN (SELECT path FROM failures)")
+def q_lookup_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.lookup(table(spark, sf, "documents").select("doc_id", "path"), "path", table(spark, sf, "failures").select("path"))
+
+
+@_register("q_lookup_chunks", "SELECT DISTINCT id, document_id FROM chunks WHERE id IN (SELECT chunk_id FROM chunk_embeddings)")
+def q_lookup_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.lookup(table(spark, sf, "chunks").select("id", "document_id"), "id", table(spark, sf, "chunk_embeddings").select("chunk_id")).distinct()
+
+
+@_register("q_first_chunks", "SELECT document_id, id, position, place FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position NULLS LAST, id) AS place FROM (SELECT DISTINCT id, document_id, position FROM chunks WHERE id IS NOT NULL)) WHERE place <= 2")
+def q_first_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.first_chunks(table(spark, sf, "chunks"), 2)
+
+
+@_register("q_file_totals", f"WITH {SQL_SCAN} SELECT root, count(*) AS files FROM scan GROUP BY root")
+def q_file_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.file_totals(_scan(spark, sf))
+
+
+@_register("q_largest", "SELECT extension, doc_id, n FROM (SELECT extension, doc_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY extension ORDER BY coalesce(length(text), 0) DESC, doc_id) AS p FROM documents) WHERE p = 1")
+def q_largest(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.largest(table(spark, sf, "documents"), "extension", "doc_id", "text")
+
+
+_SETTINGS = "SELECT CAST(run_id AS VARCHAR) AS key, status AS value FROM index_runs"
+
+
+@_register("q_put_settings", f"WITH old AS ({_SETTINGS}), new AS (SELECT key, 'late' AS value FROM old WHERE value <> 'ok' UNION ALL SELECT 'extra', 'x') SELECT * FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new")
+def q_put_settings(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "index_runs").select(F.col("run_id").cast("string").alias("key"), F.col("status").alias("value"))
+    new = old.where("value <> 'ok'").select("key", F.lit("late").alias("value")).unionByName(spark.range(1).select(F.lit("extra").alias("key"), F.lit("x").alias("value")))
+    return sync.put_settings(old, new)
+
+
+@_register("q_clear_vectors", "SELECT count(*) AS documents, 0::BIGINT AS with_vector, 0::BIGINT AS vectors FROM documents")
+def q_clear_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    docs, vectors = sync.clear_vectors(table(spark, sf, "documents"), table(spark, sf, "chunk_embeddings"))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count("embedding").alias("with_vector")).join(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("vectors"))))
+
+
+_POSTINGS_SUM = "count(*) AS postings, count(DISTINCT term) AS terms, sum(tf)::BIGINT AS total"
+
+
+def _postings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, keyword.Postings]:
+    chunks, docs = search.clean_chunks(table(spark, sf, "chunks")), search.clean_documents(table(spark, sf, "documents"))
+    return chunks, docs, keyword.build_postings(chunks, docs)
+
+
+def _summed(p: keyword.Postings) -> DataFrame:
+    each = p.terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("total"))
+
+
+@_register("q_postings_delete", f"WITH {SQL_POSTINGS} SELECT {_POSTINGS_SUM} FROM postings WHERE chunk_id NOT IN (SELECT chunk_id FROM c JOIN d ON d.id = c.document_id WHERE d.extension = 'pdf')")
+def q_postings_delete(spark: SparkSession, sf: str) -> DataFrame:
+    _, docs, p = _postings(spark, sf)
+    return _summed(keyword.delete_postings(p, docs.where("extension = 'pdf'").select(F.col("id").alias("document_id"))))
+
+
+@_register("q_postings_replace", f"WITH {SQL_POSTINGS}, own AS (SELECT chunk_id, position FROM c JOIN d ON d.id = c.document_id WHERE d.extension = 'docx') SELECT {_POSTINGS_SUM} FROM postings WHERE chunk_id NOT IN (SELECT chunk_id FROM own WHERE position <> 0)")
+def q_postings_replace(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, docs, p = _postings(spark, sf)
+    written = docs.where("extension = 'docx'")
+    anew = chunks.where("position = 0").join(written.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return _summed(keyword.replace_postings(p, anew, written))
+
+
+@_register("q_upsert_chunks", """WITH d AS (SELECT id, text FROM documents WHERE text IS NOT NULL AND size > 3000)
+    SELECT document_id, position, md5(text) AS digest FROM chunks WHERE document_id IN (SELECT id FROM documents) AND document_id NOT IN (SELECT id FROM d)
+    UNION ALL SELECT id, i::INTEGER, md5(substr(text, i * 700 + 1, 800)) FROM (SELECT id, text, unnest(range(0, 1 + ceil(greatest(length(text) - 800, 0) / 700.0)::BIGINT)) AS i FROM d)""")
+def q_upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("id", "text", "size")
+    prepared = docs.where("text is not null and size > 3000").select("id", chunking.windows(F.col("text")).alias("chunks"))
+    return sync.upsert_chunks(table(spark, sf, "chunks"), docs, prepared).select("document_id", "position", F.md5("text").alias("digest"))
+
+
+@_register("q_below", "SELECT doc_id, path = root OR starts_with(path, regexp_replace(root, '/+$', '') || '/') AS inside FROM documents WHERE root IS NOT NULL AND path IS NOT NULL")
+def q_below(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("root is not null and path is not null").select("doc_id", sync.below(F.col("path"), F.col("root")).alias("inside"))
+
+
+@_register("q_dot", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS product FROM embeddings")
+def q_dot(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.round(V.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("product"))
+
+
+@_register("q_failure_record", f"SELECT path, CASE {_RULES} ELSE 'parse' END AS category, reason FROM failures")
+def q_failure_record(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "failures").select(T.failure(F.col("path"), F.col("reason")).alias("f")).select("f.*")
+
+
+@_register("q_format", """SELECT doc_id, strftime(make_timestamp(modified_ms * 1000), '%b %-d, %Y') AS day,
+    CASE WHEN instr(lower(name), 'report') > 0 THEN substr(name, 1, instr(lower(name), 'report') - 1) || '<mark>' || substr(name, instr(lower(name), 'report'), 6) || '</mark>' || substr(name, instr(lower(name), 'report') + 6) ELSE name END AS marked,
+    CASE WHEN size < 1000 THEN size || ' ms' WHEN size < 10000 THEN printf('%.1f s', size / 1000.0::DOUBLE) WHEN size < 60000 THEN printf('%.0f s', size / 1000.0::DOUBLE) ELSE (size // 60000) || 'm ' || ((size % 60000) // 1000) || 's' END AS took
+    FROM documents WHERE modified_ms IS NOT NULL AND size IS NOT NULL""")
+def q_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").where("modified_ms is not null and size is not null")
+    return rows.select("doc_id", T.format_date(F.col("modified_ms")).alias("day"), T.highlight(F.col("name"), F.lit("report")).alias("marked"), T.format_duration(F.col("size")).alias("took"))
+
+
+@_register(
+    "q_requests",
+    f"""SELECT query_id, CASE WHEN lower(trim(search_mode)) IN ('keyword', 'semantic') THEN lower(trim(search_mode)) ELSE 'hybrid' END AS mode, nullif(extension, '') AS ext,
+    greatest(1, least(100, coalesce(max_results, 20))) AS most, greatest(200, least(1000, 20 * greatest(1, least(100, coalesce(max_results, 20))))) AS budget
+    FROM search_requests WHERE query_id IS NOT NULL AND regexp_replace(query, '^{WS}+', '') <> ''""",
+)
+def q_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return search.clean_requests(table(spark, sf, "search_requests")).select("query_id", "mode", "ext", "most", "budget")
+
+
+@_register(
+    "q_document_floor",
+    f"""WITH {sql_hashed("(SELECT id, lower(coalesce(extension, '')) AS extension, name FROM documents WHERE id IS NOT NULL)", "id, extension", "name", "vec")},
+    {sql_hashed("(SELECT query_id, nullif(extension, '') AS ext, query FROM search_requests WHERE regexp_replace(query, '^" + WS + "+', '') <> '')", "query_id, ext", "query", "qvec")},
+    sims AS (SELECT q.query_id, v.id, round(greatest(sum(q.v * v.v), 0), 6) AS sim FROM qvec q JOIN vec v USING (bucket) WHERE q.ext IS NULL OR v.extension = q.ext GROUP BY ALL)
+    SELECT query_id, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS place FROM sims WHERE sim > 0.05) WHERE place <= 50""",
+)
+def q_document_floor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = search.clean_documents(table(spark, sf, "documents"))
+    own = V.sparse_features(docs, ["id", "extension"], F.col("name")).withColumn("document_id", F.col("id"))
+    asked = search.clean_requests(table(spark, sf, "search_requests")).withColumn("budget", F.lit(50))
+    query = V.sparse_features(asked, ["query_id", "ext", "budget"], F.col("query"))
+    sims = exact.sparse_top_k(query, own, "document_id", V.BUCKETS, search.DOCUMENT_FLOOR, strict=True)
+    return keyword.top_hits(sims, 50, "sim", "id").select("query_id", "id", "sim")
+
+
+@_register("q_padded_tokens")
+def q_padded_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "chunks").where("text is not null").select("id", F.char_length("text").alias("n"))
+    return embedding.padded_tokens(embedding.token_batches(rows, "id", "n"))
+
+
+@_register("q_vector_bytes", "SELECT vec_id, 256::INTEGER AS size, true AS same FROM embeddings")
+def q_vector_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = embedding.to_bytes(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
+    back = embedding.from_bytes(rows, "bytes", "again")
+    return back.select("vec_id", F.octet_length("bytes").alias("size"), (F.col("embedding") == F.col("again")).alias("same"))
+
+
 def queries() -> dict:
     return dict(Q)
 

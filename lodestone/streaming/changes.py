@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,6 +51,11 @@ def debounce(events: DataFrame, gap_us: int = QUIET, key: str | None = None) ->
     return numbered.groupBy("burst").agg(F.min("ts").cast(kind).alias("begin"), F.max("ts").cast(kind).alias("last"), F.count(F.lit(1)).alias("events"), F.count_distinct("path").alias("paths"))
 
 
+def event_stream(spark: SparkSession, folder: str, most_files: int = 1_000) -> DataFrame:
+    """``ts, path`` as they come: the source of changes is a folder that watchers write JSON lines into, one file a flush."""
+    return spark.readStream.schema("ts timestamp, path string").option("maxFilesPerTrigger", most_files).json(folder)
+
+
 def root_health(probes: DataFrame) -> DataFrame:
     """``root, ts, change``: where a root went ``offline`` or came back (``recovered``), from probes ``root, ts, online``."""
     w = Window.partitionBy("root").orderBy("ts")
@@ -62,7 +67,8 @@ def root_health(probes: DataFrame) -> DataFrame:
 def apply_stream(bursts: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Hand the distinct changed paths of each micro-batch to ``apply``; what comes meanwhile waits for the next one.
 
-    ``apply`` must be repeatable: changes are known by path, time and size, so doing one twice changes nothing.
+    ``apply`` must be repeatable: changes are known by path, time and size, so doing one twice changes nothing. Started again
+    with the same ``checkpoint``, after a full task or a failure, it goes on where it was.
     """
 
     def each(batch: DataFrame, _: int) -> None:

@@ -106,3 +106,19 @@ def test_change_stream_is_handed_on_in_bursts(spark, tmp_path):
     q = changes.apply_stream(changes.debounce_stream(stream), lambda df: seen.extend(r.path for r in df.collect()), f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_the_stream_goes_on_after_a_restart(spark, tmp_path):
+    folder, seen = tmp_path / "events", []
+    folder.mkdir()
+
+    def run():
+        q = changes.apply_stream(changes.debounce_stream(changes.event_stream(spark, str(folder))), lambda df: seen.extend(r.path for r in df.collect()), f"{tmp_path}/cp")
+        q.awaitTermination(120)
+
+    (folder / "1.json").write_text('{"ts": "2024-01-01T00:00:00Z", "path": "a"}\n{"ts": "2024-01-01T00:10:00Z", "path": "b"}\n')
+    run()
+    assert seen == ["a"]
+    (folder / "2.json").write_text('{"ts": "2024-01-01T00:20:00Z", "path": "c"}\n')
+    run()
+    assert seen == ["a", "b"]

@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.operators import catalog, chunking, keyword, search, sync
+from lodestone.operators import catalog, chunking, embedding, keyword, search, sync
 from lodestone.operators import vectors as exact
 from lodestone.operators.ranking import grouped_rank
 from lodestone.streaming import changes
@@ -133,3 +134,63 @@ def test_page_bounds_and_collation(spark):
     assert catalog.page_bounds(-3, 1000) == (0, 100) and catalog.page_bounds(5, 0) == (5, 1)
     docs = spark.createDataFrame([("1", "b", "/1"), ("2", "A", "/2"), ("3", "É", "/3"), ("4", None, "/4")], "id string, name string, path string")
     assert [r.id for r in catalog.document_page(docs).collect()] == ["4", "2", "1", "3"]
+
+
+def test_lookups(spark):
+    docs = spark.createDataFrame([("1", "/a"), ("2", "/b")], "id string, path string")
+    assert catalog.document_by_path(docs, "/b").first().id == "2"
+    chunks = spark.createDataFrame([(1, "1", 0), (1, "1", 0), (2, "1", 1)], "id bigint, document_id string, position int")
+    assert catalog.chunk_by_id(chunks, 1).count() == 1 and [r.id for r in catalog.ordered_chunks(chunks).collect()] == [1, 2]
+    settings = spark.createDataFrame([("k", "v")], "key string, value string")
+    assert catalog.setting(settings, "k") == "v" and catalog.setting(settings, "x") is None
+
+
+def test_tokens_and_batches(spark):
+    pieces = {b"a": 1, b"b": 2, b"ab": 3, b"abc": 4, b"c": 5}
+    df = spark.createDataFrame([(1, "abcabb"), (2, None), (3, "")], "id int, t string")
+    assert {r.id: r.tokens for r in embedding.token_ids(df, "t", pieces).collect()} == {1: [4, 3, 2], 2: None, 3: []}
+    rows = spark.createDataFrame(list(enumerate([3000, 100, 120, 140, 160])), "id int, n int").coalesce(1)
+    plan = embedding.token_batches(rows, "id", "n")
+    by = {}
+    for r in plan.collect():
+        by.setdefault(r.batch, []).append(r.length)
+    assert sorted(map(sorted, by.values())) == [[100, 120, 140, 160], [3000]]
+    assert tuple(embedding.padded_tokens(plan).first()) == (3520, 3640)
+
+
+def test_recurrence_equals_the_definition():
+    rng = np.random.default_rng(1)
+    r, w, k, v, a, b = (rng.normal(size=(2, 5, 6)).astype(np.float32) * 0.5 for _ in range(6))
+    got = embedding.recurrence(r, w, k, v, a, b, heads=2)
+    for n in range(2):
+        for h in range(2):
+            c, state = slice(3 * h, 3 * h + 3), np.zeros((3, 3))
+            for t in range(5):
+                x = [z[n, t, c].astype(float) for z in (r, w, k, v, a, b)]
+                state = state @ np.diag(np.exp(-np.exp(x[1]))) + np.outer(state @ x[4], x[5]) + np.outer(x[3], x[2])
+                assert np.allclose(got[n, t, c], state @ x[0], atol=1e-5)
+
+
+def test_embedder_falls_back_for_good(spark):
+    calls = []
+
+    def load():
+        def model(ids):
+            calls.append(ids.tolist())
+            if len(calls) > 1:
+                raise RuntimeError("out of memory")
+            return np.ones((len(ids), 768)) * ids[:, -1:]
+
+        return (lambda t: [len(t)]), model
+
+    e = embedding.Embedder(load)
+    assert e.state == "uninitialised"
+    first = e.embed(["ab", "abc"])
+    assert e.state == "ready" and calls[0] == [[2, embedding.END], [3, embedding.END]] and np.allclose(np.linalg.norm(first, axis=1), 1)
+    assert np.allclose(e.embed(["word"]), embedding.hashed_vector("word")) and e.state == "fallback"
+    assert embedding.Embedder(lambda: 1 / 0).embed(["x y"]).shape == (1, 768)
+    df = spark.createDataFrame([(1, "支持本地 search"), (2, None), (3, "")], "id int, t string")
+    got = {r.id: r for r in embedding.embed_texts(df, ["id"], "t", lambda: embedding.Embedder(None)).collect()}
+    sparse = {r.bucket: r.v for r in V.hashed_features(df, ["id"], F.col("t")).collect()}
+    assert set(got) == {1, 3} and got[1].backend == "fallback" and not any(got[3].vector)
+    assert all(abs(x - sparse.get(i, 0.0)) < 1e-6 for i, x in enumerate(got[1].vector))

@@ -322,15 +322,15 @@ def test_neighbours_reach_the_recall(spark, monkeypatch):
     assert neighbours.Neighbours(df.limit(0), "chunk_id").neighbours().count() == 0
 
 
-@pytest.mark.parametrize("piece", [100_000, 150])
-def test_neighbours_reach_the_recall_over_hundreds_of_shards(spark, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "flat"), [(100_000, 1024), (150, 1024), (100_000, 16)])
+def test_neighbours_reach_the_recall_over_hundreds_of_shards(spark, monkeypatch, piece, flat):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(6000, 12)) @ rng.normal(size=(12, 64)) + rng.normal(size=(6000, 64)) * 0.1
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id bigint, embedding array<double>")
     monkeypatch.setattr(neighbours, "SHARD", 20)
-    if hasattr(neighbours, "SLICE"):
-        monkeypatch.setattr(neighbours, "SLICE", piece)
-        monkeypatch.setattr(neighbours, "SPLIT", 30)
+    monkeypatch.setattr(neighbours, "LARGE", 1)
+    monkeypatch.setattr(neighbours, "SLICE", piece)
+    monkeypatch.setattr(neighbours, "FLAT", flat)
     found = {(r.key, r.neighbour) for r in neighbours.Neighbours(df, "chunk_id").neighbours().collect()}
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = y @ y.T

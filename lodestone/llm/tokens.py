@@ -12,6 +12,7 @@ import base64
 import re
 import unicodedata
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -107,23 +108,55 @@ class SpeculativeBpe:
         return (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
 
     def _merge(self, piece: bytes, below: int | None = None) -> list[bytes]:
-        """Exact merging: the adjacent pair of lowest rank first, the leftmost of equals; only ranks under ``below``."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60 or below is not None and rank >= below:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        """Exact merging: the adjacent pair of lowest rank first, the leftmost of equals; only ranks under ``below``.
+
+        Waiting pairs are kept in order of rank and place, so a word of any length takes its length times its logarithm.
+        """
+        n = len(piece)
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n:
+                rank = self.ranks.get(piece[i : end[j]])
+                if rank is not None and (below is None or rank < below):
+                    heappush(waiting, (rank, i, j, end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while waiting:
+            _, i, j, upto = heappop(waiting)
+            if after[i] != j or end[i] != j or end[j] != upto:
+                continue  # one of the two has become part of something else
+            end[i], after[i] = end[j], after[j]
+            end[j] = after[j] = -1
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(piece[i : end[i]])
+            i = end[i]
+        return out
 
     def _exact(self) -> Callable[[bytes], list[int]]:
+        own = lambda piece: [self.ranks[p] for p in self._merge(piece)]
         try:
             import tiktoken
+        except ImportError:
+            return own
+        library = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=self.ranks, special_tokens={})
+
+        def exact(piece: bytes) -> list[int]:
+            try:
+                return library.encode_ordinary(piece.decode())
+            except UnicodeDecodeError:
+                return own(piece)
 
-            core = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=self.ranks, special_tokens={})
-            return core._encode_single_piece  # noqa: SLF001
-        except (ImportError, AttributeError):
-            return lambda piece: [self.ranks[p] for p in self._merge(piece)]
+        return exact
 
     def _build_trie(self) -> None:
         nodes: dict[tuple[int, int], int] = {}

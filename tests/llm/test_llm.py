@@ -365,6 +365,14 @@ def test_ids_equal_the_library(spark):
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_own_merging_equals_the_library():
+    bpe = tokens.encoder(tokens.default_vocabulary(), tokens.default_pattern())
+    rng = random.Random(8)
+    words = ["a" * 3000, "ab" * 500, "电" * 40, *["".join(rng.choice("aeinrst电éß") for _ in range(rng.randrange(1, 30))) for _ in range(500)]]
+    for w in words:
+        assert [bpe.ranks[p] for p in bpe._merge(w.encode())] == bpe.exact(w.encode())
+
+
 # -- leaks -------------------------------------------------------------------------------------------------------------
 
 

@@ -49,6 +49,8 @@ SLICE = 100_000
 SAMPLE = 20_000
 #: Beam of a search: wider than ``K`` for accuracy, and wider still in large shards.
 SEARCH, SEARCH_LARGE = 16, 24
+#: What the beam is narrower by in shards that are not a vector's own: few of its nearest are there.
+NARROWER = 4
 
 
 def probes(shards: int) -> int:
@@ -129,7 +131,11 @@ class Shards:
     def nearest(self, vectors: np.ndarray, asked: int) -> np.ndarray:
         """The ``asked`` nearest shards of each vector, nearest first."""
         if self.top is None:
-            return np.argsort(-(vectors @ self.leaves.T), axis=1, kind="stable")[:, :asked]
+            near = -(vectors @ self.leaves.T)
+            if asked >= near.shape[1]:
+                return np.argsort(near, axis=1)
+            best = np.argpartition(near, asked - 1, axis=1)[:, :asked]
+            return np.take_along_axis(best, np.argsort(np.take_along_axis(near, best, 1), axis=1), 1)
         out = np.empty((len(vectors), asked), np.int64)
         for begin in range(0, len(vectors), 2048):
             out[begin : begin + 2048] = self._below(vectors[begin : begin + 2048], asked)
@@ -180,7 +186,7 @@ def _search_shard(k: int, dimensions: int, beam: int) -> Callable[[pa.Table], pa
             found.append((names, *graphs.beam_search(points, graph, points, beam, np.arange(len(own)))))
         rest = np.flatnonzero(inside == 0)
         if len(rest):
-            found.append((keys[rest], *graphs.beam_search(points, graph, vectors[rest], beam)))
+            found.append((keys[rest], *graphs.beam_search(points, graph, vectors[rest], beam - NARROWER)))
         cols: list[list[np.ndarray]] = [[], [], []]
         for asked, ids, sims in found:
             ids, sims = ids[:, : k + 1], sims[:, : k + 1]

@@ -196,7 +196,23 @@ def test_visible_differences_stay(a, b):
 
 def test_consistent_script_spelling():
     assert lookalikes.one_form("офиc") == "офис" and lookalikes.one_form("оffice") == "office"
-    assert lookalikes.resolve("pac") == ("Latin", "Cyrillic", "Greek") and lookalikes.resolve("paж") == ("Cyrillic",) and lookalikes.resolve("fж") == ()
+    known = lookalikes.KNOWN
+    assert known.resolve("pac") == ("Latin", "Cyrillic", "Greek") and known.resolve("paж") == ("Cyrillic",) and known.resolve("fж") == ()
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("口コミ", "ロコミ"), ("二月", "ニ月"), ("ニュース", "二ュース"), ("ꓚꓳꓟꓰ", "COME"), ("Ⲟⲣen", "Open"), ("ᏚᏢᎪ", "SPA"), ("力学", "カ学"), ("ＩＮＦＯ", "INFO"), ("раѕѕ", "pass"), ("ІВМ", "IBM")],
+)
+def test_equal_looks_of_the_public_list(spark, a, b):
+    looks = lookalikes.looks_of(lookalikes.public_list(spark))
+    assert a != b and looks.one_form(a) == looks.one_form(b)
+
+
+@pytest.mark.parametrize("text", ["カタカナ", "ニュース", "二月八日", "工業力", "Ελλάδα", "Россия", "Հայաստան", "naïve café", "Il1 O0 rn m", "ß ı ø ð þ", "①②x²", "한국어", "日本語ー一ノ"])
+def test_plain_text_stays_as_it_is(spark, text):
+    looks = lookalikes.looks_of(lookalikes.public_list(spark))
+    assert looks.one_form(text) == lookalikes.one_form(text)
 
 
 def test_lookalike_pairs(spark):

@@ -70,6 +70,7 @@ _TWO = [c for c in INVERSE if c in ("gb18030", "big5", "cp932", "cp949")]
 _ALL_HIGH = 4
 #: Runs of ideographs or of other characters beyond ASCII.
 _ALIKE = re.compile(r"[\u2e80-\uffee]{2,}|[^\x00-\x7f\ufffd\u2e80-\uffee]{2,}")
+_LOW = re.compile("[a-z]")
 _NARROW = re.compile("[\x80-\u2e7f]")
 _SPAN = re.compile(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*[a-z]?")
 
@@ -325,8 +326,8 @@ class Finder:
         now = self.weights.mean(before[-1:] + span + after[:1])
         if now > self.plausible:
             return None
-        if not _NARROW.search(span) and not ("a" <= before[-1:] <= "z" or "a" <= after[:1] <= "z"):
-            # ideographs: what was garbled has an improbable pair of them, not only beside a sign
+        if not _NARROW.search(span) and not _LOW.search(before + after):
+            # ideographs among such: what was garbled has an improbable pair of them, not only beside a sign
             if not any(a >= "\u2e80" <= b and self.weights.mean(a + b) < self.improbable for a, b in zip(span, span[1:], strict=False)):
                 return None
         whole = before + span + after

@@ -75,6 +75,9 @@ _NARROW = re.compile("[\x80-\u2e7f]")
 _SPAN = re.compile(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*[a-z]?")
 
 
+_LETTER = np.array([chr(c).isalpha() for c in range(128)])
+
+
 def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The pair's bucket; odd ones are those of pairs with a character beyond ASCII."""
     h = a * 0x9E3779B1 + b * 0x85EBCA77
@@ -306,6 +309,15 @@ class Finder:
         self.improbable, self.plausible, self.acceptable, self.fluent = (weights.level - x for x in (IMPROBABLE, PLAUSIBLE, ACCEPTABLE, FLUENT))
         self.repair_span = lru_cache(maxsize=100_000)(self._repair_span)
 
+    def doubtful(self, codes: np.ndarray, foreign: np.ndarray) -> np.ndarray:
+        """Where pairs of ``codes`` begin that are clearly improbable, of those that are ``foreign``."""
+        at = np.flatnonzero(foreign)
+        # a pair seen so often is probable enough whatever its characters are
+        few = max(RARE, self.weights.total * 10 ** (self.improbable - DOUBT))
+        at = at[self.weights.pairs[_bucket(codes[at], codes[at + 1])] <= few]
+        at = at[(codes[at] > 0) & (codes[at + 1] > 0)]
+        return at[self.weights.of_pairs(codes[at], codes[at + 1]) < self.improbable - DOUBT]
+
     def _inverses(self, span: str) -> Iterator[tuple[str, str, str]]:
         for wrong, rights in INVERSE.items():
             raw = _sloppy(span, wrong)
@@ -465,11 +477,10 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
     """The texts with garbled runs, by their place in the list."""
     codes, begins = _codes(texts)
     foreign = (codes[:-1] > 127) | (codes[1:] > 127)
-    at = np.flatnonzero(foreign)
-    weights = np.zeros(len(foreign))  # only pairs with a foreign character are asked for
-    weights[at] = finder.weights.of_pairs(codes[at], codes[at + 1])
     edges = np.append(begins, len(codes))
-    hot = np.add.reduceat(np.append((weights < finder.improbable - DOUBT) & foreign & (codes[:-1] > 0) & (codes[1:] > 0), False), begins) > 0
+    doubtful = finder.doubtful(codes, foreign)
+    hot = np.zeros(len(texts), bool)
+    hot[np.searchsorted(begins, doubtful, "right") - 1] = True
     # certain marks and runs of UTF-8 read wrongly are tested, however probable
     begin, end, certain = _upper(codes)
     sure = np.concatenate([certain, np.array([a for a, *_ in _misread(texts, codes, begin, end)[1]], np.int64)])
@@ -481,10 +492,12 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
         disguised = (plain := one_form(text)) != text
         if disguised and i not in marked:  # disguised: is anything improbable in its one form?
             seen, _ = _codes([plain])
-            at = np.flatnonzero((seen[:-1] > 0) & (seen[1:] > 0) & ((seen[:-1] > 127) | (seen[1:] > 127)))
-            if not (finder.weights.of_pairs(seen[at], seen[at + 1]) < finder.improbable).any():
-                continue
-        own = np.where(foreign[edges[i] : edges[i + 1] - 1], weights[edges[i] : edges[i + 1] - 1], 0.0)[: max(0, len(text) - 1)]
+            sign = (seen < 128) & ~_LETTER[np.minimum(seen, 127)]  # beside signs its pairs are rare by its making only
+            at = finder.doubtful(seen, ((seen[:-1] > 127) | (seen[1:] > 127)) & ~sign[:-1] & ~sign[1:])
+            if not (np.diff(at) <= 2).any() and not (len(at) and (at[0] == 0 or at[-1] >= len(plain) - 2)):
+                continue  # what is garbled has such pairs on both its sides, or stands at an end of the text
+        own_codes = codes[edges[i] : edges[i + 1]]
+        own = np.where(foreign[edges[i] : edges[i + 1] - 1], finder.weights.of(own_codes), 0.0)[: max(0, len(text) - 1)]
         if runs := finder.garbled(text, own, disguised):
             yield i, runs
 

@@ -48,6 +48,18 @@ P1_FOUND = (
 )
 
 
+P1_GROUPS = (
+    "WITH RECURSIVE " + ",".join(_P1_KIND.format(kind=k, key=c, text=x, table=t, n=n, least=m) for k, c, x, t, n, m in _P1_PARTS)
+    + "".join(
+        f""", {k}_s AS (SELECT DISTINCT x, y FROM {k}_p WHERE x <> y UNION SELECT DISTINCT y, x FROM {k}_p WHERE x <> y),
+        {k}_r AS (SELECT DISTINCT key, key AS other FROM {k}_m UNION SELECT r.key, s.y FROM {k}_r r JOIN {k}_s s ON r.other = s.x),
+        {k}_c AS (SELECT key, min(other) AS class_id FROM {k}_r GROUP BY key)"""
+        for k, *_ in _P1_PARTS
+    )
+    + " UNION ALL ".join(f" SELECT '{k}' AS kind, key, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM {k}_c" for k, *_ in _P1_PARTS)
+)
+
+
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, sf_dir, "chunks")).withColumnRenamed("key", "chunk_id")
 
@@ -191,6 +203,11 @@ w AS (SELECT DISTINCT item_id, substr(t, n, 40) AS g FROM (SELECT item_id, t, un
 found AS (SELECT DISTINCT v.doc_id, w.item_id FROM (SELECT doc_id, substr(t, n, 40) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS n FROM d)) v JOIN w USING (g))
 """
 P9_FOUND = _P9 + "SELECT doc_id, item_id FROM found"
+P9_LEAKS = _P9 + """, hits AS (
+  SELECT v.doc_id, w.item_id, v.n AS p, v.n - w.n AS diagonal FROM (SELECT doc_id, n, substr(t, n, 40) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS n FROM d)) v
+  JOIN (SELECT item_id, n, substr(t, n, 40) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS n FROM i)) w USING (g)),
+runs AS (SELECT doc_id, item_id, min(p) - 1 AS start, count(*) + 39 AS length FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS island FROM hits) GROUP BY doc_id, item_id, diagonal, island)
+SELECT doc_id, item_id, start, length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY length DESC, start) AS n FROM runs) WHERE n = 1"""
 P9_CLEAN = _P9 + "SELECT doc_id, text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM found)"
 
 
@@ -209,11 +226,13 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
+        "p1_groups": P1_GROUPS,
         "p4_found": P4_FOUND,
         "p4_ranking": P4_RANKING,
         "p5_found": P5_FOUND,
         "p5_covered": P5_COVERED,
         "p6_found": P6_FOUND,
         "p9_found": P9_FOUND,
+        "p9_leaks": P9_LEAKS,
         "p9_clean": P9_CLEAN,
     }

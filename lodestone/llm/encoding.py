@@ -13,6 +13,7 @@ garbled in any case; they may not be recoverable.
 
 from __future__ import annotations
 
+import codecs
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
@@ -233,6 +234,8 @@ class Weights:
 
     def mean(self, text: str) -> float:
         """Mean weight of the text's pairs; the floor for a text without any."""
+        if len(text) > 64:
+            return float(self.of(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)).mean())
         known = self._known
         total = 0.0
         for a, b in zip(text, text[1:], strict=False):
@@ -283,22 +286,22 @@ def improbable_segments(scores: np.ndarray) -> list[tuple[int, int]]:
     return [(b, e) for b, e, _, _ in stack]
 
 
+def _own_byte(error: UnicodeError) -> tuple[bytes, int]:
+    part = error.object[error.start : error.end]
+    if max(part) > "\xff":
+        raise error
+    return part.encode("latin-1"), error.end
+
+
+codecs.register_error("own-byte", _own_byte)
+
+
 def _sloppy(span: str, codec: str) -> bytes | None:
-    """Encode; characters that the encoding left as C1 controls when reading become their byte again."""
+    """Encode; characters that CP1252 left as C1 controls when reading become their byte again."""
     try:
-        return span.encode(codec)
+        return span.encode(codec, "own-byte" if codec == "cp1252" else "strict")
     except UnicodeEncodeError:
-        if codec != "cp1252":
-            return None
-    out = bytearray()
-    for c in span:
-        try:
-            out += c.encode("cp1252")
-        except UnicodeEncodeError:
-            if ord(c) > 0xFF:
-                return None
-            out.append(ord(c))
-    return bytes(out)
+        return None
 
 
 class Finder:

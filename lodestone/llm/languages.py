@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -246,9 +247,8 @@ class Spans:
 
         -1 and no stretch for a text without a word.
         """
-        edge, scores, sums, main = self.scored(texts)
+        edge, scores, totals, main = self.scored(texts)
         same = _constant(scores, edge, main, SWITCH) if len(scores) else np.ones(len(texts), bool)
-        totals = sums[edge[1:]] - sums[edge[:-1]]
         mixed = np.flatnonzero(~same & (edge[1:] > edge[:-1]))
         path = viterbi_rows(scores, edge[mixed], edge[mixed + 1]) if len(mixed) else np.zeros(0, np.int64)
         out = []
@@ -260,20 +260,24 @@ class Spans:
                 sure = _confidence(totals[i], b - a, int(main[i]))
                 out.append((int(main[i]), sure, [(0, len(text), int(main[i]), sure)]))
             else:
-                out.append(self._mixed(path[a:b], scores[a:b], sums[a : b + 1], *_sentences(text)))
+                out.append(self._mixed(path[a:b], scores[a:b], *_sentences(text)))
         return out
 
     def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where each text's words begin and end, their scores and cumulated scores, and each text's best language."""
+        """Where each text's words begin and end, their scores, and each text's summed scores and best language."""
         split = [_TOKEN.findall(t) for t in texts]
         edge = np.cumsum([0, *map(len, split)])
-        self.at = self.model.indices([w for words in split for w in words])
+        self.at = self.model.indices(list(chain.from_iterable(split)))
         scores = self.model.table[self.at]
-        sums = np.concatenate([np.zeros((1, len(self.model.languages))), np.cumsum(scores, axis=0, dtype=float)])
-        return edge, scores, sums, (sums[edge[1:]] - sums[edge[:-1]]).argmax(1)
+        totals = np.zeros((len(texts), len(self.model.languages)))
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        if len(some):
+            totals[some] = np.add.reduceat(scores, edge[some], axis=0, dtype=float)
+        return edge, scores, totals, totals.argmax(1)
 
-    def _mixed(self, path: np.ndarray, scores: np.ndarray, sums: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, float, list[tuple[int, int, int, float]]]:
+    def _mixed(self, path: np.ndarray, scores: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, float, list[tuple[int, int, int, float]]]:
         begins = np.concatenate([[0], ends[:-1]])
+        sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=float)])
         told = -scores.min(1)  # words that tell nothing have no say
         votes = np.stack([np.concatenate([[0.0], np.cumsum(np.where(path == k, told + 1e-3, 0))]) for k in range(scores.shape[1])], axis=1)
         label = (votes[ends] - votes[begins]).argmax(1)

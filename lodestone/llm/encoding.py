@@ -14,6 +14,7 @@ garbled in any case; they may not be recoverable.
 from __future__ import annotations
 
 import codecs
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import map_text, sliced
-from lodestone.llm.lookalikes import one_form
+from lodestone.llm.lookalikes import one_form, one_forms
 
 #: Buckets of the pair table: what is collected and sent to every task is bounded by it.
 PAIR_BUCKETS = 1 << 20
@@ -116,12 +117,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=100_000)
-def as_utf8(run: str) -> str | None:
-    """What the run was if it is UTF-8 read in another encoding, perhaps more than once; else ``None``.
+def as_utf8(run: str, codecs_: tuple[str, ...] | None = None) -> str | None:
+    """What the run was if it is UTF-8 read in another encoding (of ``codecs_``), perhaps more than once; else ``None``.
 
     The whole run must be valid; signs and letters of Latin script may stand alone, others need a second one.
     """
-    for codec in (*_ONE, *_TWO):
+    for codec in (*_ONE, *_TWO) if codecs_ is None else codecs_:
         raw = _sloppy(run, codec)
         try:
             fixed = raw.decode("utf-8") if raw is not None else ""
@@ -157,14 +158,17 @@ def _misread(texts: list[str | None], codes: np.ndarray, begin: np.ndarray, end:
     one = (lead2[c0] & further[c1]) | (lead3[c0] & further[c1] & further[c2])
     size = end - begin
     p0, p1, p2 = pairs[c0], pairs[c1], pairs[c2]
-    two = (size > 2) & (((p0 & (p1 >> 1) & (p2 >> 2) & 0x1111) | (p0 & p1 & p2 & 0x1111)) > 0)
+    two = np.where(size > 2, (p0 & (p1 >> 1) & (p2 >> 2) & 0x1111) | (p0 & p1 & p2 & 0x1111), 0)
     before, after = codes[begin - 1], codes[end]
-    alone = (size == 1) & ((p0 & 0x1111) > 0) & (before >= 97) & (before <= 122) & (after >= 97) & (after <= 122)  # inside a word
-    at = np.flatnonzero((one > 0) | two | alone)
+    inside = (size == 1) & (before >= 97) & (before <= 122) & (after >= 97) & (after <= 122)  # alone inside a word
+    two |= np.where(inside, p0 & 0x1111, 0)
+    at = np.flatnonzero((one > 0) | (two > 0))
     joined = "\0".join(t or "" for t in texts) + "\0" if len(at) else ""
     out = []
-    for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True):
-        if (fixed := as_utf8(joined[a:b])) is not None:
+    for a, b, x, y in zip(begin[at].tolist(), end[at].tolist(), one[at].tolist(), two[at].tolist(), strict=True):
+        # the first characters already say which encodings can be meant
+        can = tuple(c for i, c in enumerate(_ONE) if x >> i & 1) + tuple(c for i, c in enumerate(_TWO) if y >> 4 * i & 1)
+        if (fixed := as_utf8(joined[a:b], can)) is not None:
             out.append((a, b, fixed))
     return joined, out
 
@@ -232,6 +236,15 @@ class Weights:
         weight = np.where(n > RARE, weight, np.minimum(weight, self.level - ACCEPTABLE))
         return np.where(n > 0, np.maximum(weight, self.floor), self.floor)
 
+    def _one(self, a: int, b: int) -> float:
+        """The same for one pair."""
+        n = float(self.pairs[int(_bucket(a, b))])
+        if n <= 0:
+            return self.floor
+        pmi = math.log(n * self.total / (float(self.single[a]) * float(self.single[b])))
+        weight = math.log10(n / self.total * max(1.0, pmi))
+        return max(self.floor, weight if n > RARE else min(weight, self.level - ACCEPTABLE))
+
     def mean(self, text: str) -> float:
         """Mean weight of the text's pairs; the floor for a text without any."""
         if len(text) > 64:
@@ -244,7 +257,7 @@ class Weights:
             if weight is None:
                 if len(known) > 400_000:
                     known.clear()
-                weight = known[pair] = float(self.of(np.array([ord(a), ord(b)], np.int64))[0])
+                weight = known[pair] = self._one(ord(a), ord(b))
             total += weight
         return total / (len(text) - 1) if len(text) > 1 else self.floor
 
@@ -490,9 +503,10 @@ def _found(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, list[
     marked = np.searchsorted(begins, sure, "right") - 1
     hot[marked] = True
     marked = set(marked.tolist())
-    for i in np.flatnonzero(hot).tolist():
+    asked = np.flatnonzero(hot).tolist()
+    for i, plain in zip(asked, one_forms([texts[i] for i in asked]), strict=True):
         text = texts[i]
-        disguised = (plain := one_form(text)) != text
+        disguised = plain != text
         if disguised and i not in marked:  # disguised: is anything improbable in its one form?
             seen, _ = _codes([plain])
             sign = (seen < 128) & ~_LETTER[np.minimum(seen, 127)]  # beside signs its pairs are rare by its making only

@@ -336,7 +336,7 @@ def _repairer(pairs: tuple) -> Callable[[list[str]], list[str]]:
 
     def clean(texts: list[str]) -> list[str]:
         out = encoding.repair_texts(finder, texts)
-        return [_LOST.sub(lambda m: "\ufffd" * len(m[0]), f) if "\ufffd" in (f := lookalikes.one_form(t)) else f for t in out]
+        return [_LOST.sub(lambda m: "\ufffd" * len(m[0]), f) if "\ufffd" in f else f for f in lookalikes.one_forms(out)]
 
     return clean
 

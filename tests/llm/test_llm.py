@@ -215,6 +215,12 @@ def test_plain_text_stays_as_it_is(spark, text):
     assert looks.one_form(text) == lookalikes.one_form(text)
 
 
+def test_forms_of_many_texts_are_the_same():
+    texts = ["", "abc", "ＩＮＦＯ１", "a\u200bb\u00adc", "cafe\u0301 \u212b", "⼈口", "Рasannоn ёлка", "\U000e0041x", "é", "ｶﾞ", "数，据。"]
+    want = [lookalikes.one_form(t) for t in texts]
+    assert lookalikes.one_forms(texts) == want and lookalikes.one_forms([*texts, "x\0y"]) == [*want, "x\0y"] and lookalikes.one_forms([]) == []
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "Pass"), (2, "Рass"), (3, "Pass"), (4, None), (None, "Ρass"), (5, ""), (6, "​"), (2, "Рass"), (7, "x" * 50_000), (8, "х" * 50_000)]
     df = spark.createDataFrame([(t, k, 1) for k, t in rows], "name string, doc_id bigint, look int")

@@ -51,5 +51,38 @@ def grouped_rank(df: DataFrame, by: list[str], order: list[tuple[str, str]], out
     return keyed.join(places, same).select(*df.columns, out)
 
 
+def in_order(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The rows range-partitioned by group and ``order``, each with its ``__part``; equal rows are in one."""
+    return cut(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))
+
+
+def _beside(rows: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with what ``small`` has for their partition and group."""
+    named = small.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], *[c for c in small.columns if c not in ("__part", *by)])
+    match = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        match &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return rows.join(named, match, "left").drop("__p", *[f"__g{i}" for i in range(len(by))])
+
+
+def with_previous(ordered: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: ``value`` of the row before in the group, null for its first; ``ordered`` as ``in_order`` gives it."""
+    inside = Window.partitionBy("__part", *by).orderBy(order)
+    last = ordered.groupBy("__part", *by).agg(F.max_by(value, order).alias("__last"))
+    carry = last.select("__part", *by, F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")).alias("__carry"))
+    rows = ordered.withColumn("__lag", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    return _beside(rows, carry, by).withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag"))).drop("__lag", "__first", "__carry")
+
+
+def with_running_sum(ordered: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the group up to the row and those equal to it in ``order``."""
+    inside = Window.partitionBy("__part", *by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ordered.groupBy("__part", *by).agg(F.sum(value).alias("__sum"))
+    base = sums.select("__part", *by, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    rows = ordered.withColumn("__local", F.sum(value).over(inside))
+    return _beside(rows, base, by).withColumn(out, F.col("__base") + F.col("__local")).drop("__base", "__local")
+
+
 def _by(name: str, direction: str) -> Column:
     return {"asc": F.col(name).asc_nulls_last(), "desc": F.col(name).desc_nulls_last()}[direction]

@@ -333,9 +333,9 @@ def q_directories(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("q_document_chunks", "SELECT d.id AS document_id, c.id AS chunk_id, c.position FROM (SELECT min(document_id) AS id FROM chunks) d JOIN (SELECT DISTINCT id, document_id, position FROM chunks) c ON c.document_id = d.id")
 def q_document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunks")
-    first = chunks.agg(F.min("document_id").alias("document_id"))
-    return chunks.select("id", "document_id", "position").distinct().join(F.broadcast(first), "document_id").select("document_id", F.col("id").alias("chunk_id"), "position")
+    chunks = table(spark, sf, "chunks").select("id", "document_id", "position")
+    document = chunks.agg(F.min("document_id")).first()[0]
+    return catalog.chunks_of(chunks, document or "").select("document_id", F.col("id").alias("chunk_id"), "position")
 
 
 # files of the last run as the scan, the documents as the state before it

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def session(name: str = "lodestone", cpus: str = "*", **conf: str) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -30,7 +33,7 @@ def session(name: str = "lodestone", cpus: str = "*", **conf: str) -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a session that names none (a test on one machine) gets a temporary one.
+    Only a session that names none (a test on one machine) gets a temporary one, which goes when the program ends.
     """
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
@@ -41,7 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    folder = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(f"file://{folder}")
+    return f"file://{folder}"
 
 
 def cut(df: DataFrame) -> DataFrame:

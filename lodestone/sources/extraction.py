@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 # The file formats, the bytes searched for PDF's encryption mark.
-FORMATS = ["txt", "md", "csv", "json", "log", "rst", "pdf", "docx", "xlsx", "pptx"]
+FORMATS = ["pdf", "docx", "xlsx", "pptx", "txt", "md", "csv", "json", "log", "rst"]
 PDF_TAIL, PDF_MARK = 128 * 1024, b"/Encrypt"
 LINE_ENDS = {"p", "tr", "row"}
 OFFICE = {"pdf", "docx", "xlsx", "pptx"}

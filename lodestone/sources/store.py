@@ -9,8 +9,11 @@ are brought together.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -41,6 +44,8 @@ COMPACT, TOGETHER = 20, 4
 class Store:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.manifest = spark, Manifest(spark, base)
+        #: Seconds that each table took in the last change.
+        self.took: dict[str, float] = {}
 
     def version(self) -> int:
         known = self.manifest.sequences()
@@ -76,11 +81,13 @@ class Store:
         names = {n: f"{n}-{uuid.uuid4().hex}" for n in frames}
 
         def one(name: str) -> None:
+            began = time.monotonic()
             schema = self.spark.createDataFrame([], TABLES.get(name, "document_id string")).schema
             df = frames[name]
             df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
             # in order of term, so that a search reads only the parts of a file that hold its terms
             (df.sortWithinPartitions("term") if name == "postings" else df).write.parquet(f"{self.manifest.base}/{names[name]}")
+            self.took[name] = self.took.get(name, 0.0) + time.monotonic() - began
 
         with ThreadPoolExecutor(TOGETHER) as pool:
             list(pool.map(inheritable_thread_target(self.spark)(one), frames))
@@ -90,12 +97,13 @@ class Store:
         """Write ``changed`` as a whole and publish it as the version after ``based_on``; fails if another writer was faster."""
         return self.change(based_on, None, {}, changed)
 
-    def change(self, based_on: int, removed: DataFrame | None, added: dict[str, DataFrame], whole: dict[str, DataFrame]) -> int:
+    def change(self, based_on: int, removed: DataFrame | None, added: dict[str, DataFrame], whole: dict[str, DataFrame], committing: Callable = nullcontext) -> int:
         """Publish the version after ``based_on``: without the documents ``removed`` (``document_id``), with the rows ``added``.
 
         ``removed`` takes the documents' rows out of all tables that have such, ``added`` comes after it; tables in ``whole``
-        are written anew.
+        are written anew. ``committing`` gives the context in which the version is published.
         """
+        self.took = {}
         entry, at = self._entry(based_on), based_on + 1
         frames = {**added, **whole}
         if removed is not None and based_on:
@@ -115,5 +123,6 @@ class Store:
         # removals older than every segment have nothing left to remove
         oldest = min((x[0][0] for n, x in tables.items() if n in OWNED), default=at)
         new["removed"] = [x for x in gone if x[0] > oldest]
-        self.manifest.publish(at, new)
+        with committing():
+            self.manifest.publish(at, new)
         return at

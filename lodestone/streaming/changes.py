@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.runtime import cut
+from lodestone.operators.ranking import in_order, with_previous, with_running_sum
 
 #: Fixed value: quiet time after which collected paths are handed on, in microseconds.
 QUIET = 900_000
@@ -28,27 +28,18 @@ def debounce_stream(events: DataFrame, watermark: str = "10 seconds", gap_us: in
 def debounce(events: DataFrame, gap_us: int = QUIET, key: str | None = None) -> DataFrame:
     """``[key,] burst, begin, last, events, paths``: the bursts of a table of events ``ts, path``.
 
-    Without ``key`` the bursts are global: gaps are found over range partitions by time, each partition knowing the last
-    event of those before it, so the table is never sorted in one task.
+    Without ``key`` the bursts are global. Gaps are found over range partitions by key and time, each partition knowing
+    the last event of those before it, so neither the table nor a key is ever sorted in one task. Events without a time
+    are left out.
     """
     kind = dict(events.dtypes)["ts"]
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    order = F.unix_micros("ts")
-    if key is not None:
-        w = Window.partitionBy(key).orderBy("ts")
-        new = F.when(order - F.lag(order).over(w) < gap_us, 0).otherwise(1)
-        marked = events.withColumn("__new", new).withColumn("burst", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-        return marked.groupBy(key, "burst").agg(F.min("ts").alias("begin"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"), F.count_distinct("path").alias("paths"))
-    ranged = cut(events.where("ts is not null").select("ts", "path").repartitionByRange("ts").withColumn("__part", F.spark_partition_id()))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
-    before = ranged.groupBy("__part").agg(F.max("ts").alias("__hi")).select("__part", F.max("__hi").over(earlier).alias("__before"))
-    w = Window.partitionBy("__part").orderBy("ts")
-    back = order - F.unix_micros(F.coalesce(F.lag("ts").over(w), F.col("__before")))
-    marked = ranged.join(F.broadcast(before), "__part").withColumn("__new", F.when(back < gap_us, 0).otherwise(1))
-    local = marked.withColumn("__local", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    starts = marked.groupBy("__part").agg(F.sum("__new").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    numbered = local.join(F.broadcast(starts), "__part").withColumn("burst", F.col("__base") + F.col("__local"))
-    return numbered.groupBy("burst").agg(F.min("ts").cast(kind).alias("begin"), F.max("ts").cast(kind).alias("last"), F.count(F.lit(1)).alias("events"), F.count_distinct("path").alias("paths"))
+    by = [key] if key is not None else []
+    ordered = in_order(events.where("ts is not null").select(*by, F.col("ts").cast("timestamp").alias("ts"), "path"), by, "ts")
+    gap = F.unix_micros("ts") - F.unix_micros("__before")
+    marked = with_previous(ordered, by, "ts", "ts", "__before").withColumn("__new", F.when(gap < gap_us, 0).otherwise(1))
+    numbered = with_running_sum(marked, by, "ts", "__new", "burst")
+    ends = [F.min("ts").cast(kind).alias("begin"), F.max("ts").cast(kind).alias("last")]
+    return numbered.groupBy(*by, "burst").agg(*ends, F.count(F.lit(1)).alias("events"), F.count_distinct("path").alias("paths"))
 
 
 def event_stream(spark: SparkSession, folder: str, most_files: int = 1_000) -> DataFrame:
@@ -57,10 +48,12 @@ def event_stream(spark: SparkSession, folder: str, most_files: int = 1_000) -> D
 
 
 def root_health(probes: DataFrame) -> DataFrame:
-    """``root, ts, change``: where a root went ``offline`` or came back (``recovered``), from probes ``root, ts, online``."""
-    w = Window.partitionBy("root").orderBy("ts")
-    was = F.lag("online").over(w)
-    edges = probes.withColumn("__was", was).where(F.col("__was").isNotNull() & (F.col("__was") != F.col("online")))
+    """``root, ts, change``: where a root went ``offline`` or came back (``recovered``), from probes ``root, ts, online``.
+
+    Probes are compared over range partitions, so a root may have any share of them; those without a time are left out.
+    """
+    before = with_previous(in_order(probes.where("ts is not null"), ["root"], "ts"), ["root"], "ts", "online", "__was")
+    edges = before.where(F.col("__was").isNotNull() & (F.col("__was") != F.col("online")))
     return edges.select("root", "ts", F.when(F.col("online"), "recovered").otherwise("offline").alias("change"))
 
 

@@ -125,6 +125,31 @@ def test_bursts_split_at_exactly_the_gap(spark):
     assert got == [3, 1, 1]
 
 
+def test_bursts_and_edges_of_hot_keys(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.randrange(60_000), f"p{rng.randrange(5)}") for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, ms bigint, path string").withColumn("ts", F.timestamp_millis("ms")).repartition(5)
+    want = []
+    for k in ("hot", "b", None):
+        own = sorted(m for x, m, _ in rows if x == k)
+        n = 1
+        for a, b in zip(own, own[1:], strict=False):
+            if b - a >= 900:
+                want.append((k, n))
+                n = 1
+            else:
+                n += 1
+        want.append((k, n))
+    got = [(r.k, r.events) for r in changes.debounce(df, key="k").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    probes = df.dropDuplicates(["k", "ms"]).select(F.col("k").alias("root"), "ts", "ms", (F.col("ms") % 3 == 0).alias("online")).where("root is not null")
+    ups = {}
+    for r in probes.collect():
+        ups.setdefault(r.root, []).append((r.ms, r.online))
+    edges = sum(a[1] != b[1] for x in ups.values() for a, b in zip(sorted(x), sorted(x)[1:], strict=False))
+    assert changes.root_health(probes.select("root", "ts", "online")).count() == edges
+
+
 def test_root_health(spark):
     rows = spark.createDataFrame([("r", 1, True), ("r", 2, False), ("r", 3, False), ("r", 4, True)], "root string, ts int, online boolean")
     assert [(r.ts, r.change) for r in changes.root_health(rows).orderBy("ts").collect()] == [(2, "offline"), (4, "recovered")]

@@ -108,6 +108,13 @@ def test_engine_over_folders(spark, tmp_path):
     e.sync([str(root), str(lone)])
     assert {r.name for r in e.documents().collect()} >= {".c.md", "_b.txt", "new.md"}
     assert {r.path for r in e.failures().where("category = 'offline'").collect()} == {str(lone)}
+    shown = e.stats().first()
+    assert (shown.index_stage, shown.status, shown.total_files, shown.processed_files) == ("ready", "ready", 5, 5) and shown.index_total_elapsed_ms >= shown.index_scan_ms > 0
+    assert e.document(str(root / "new.md")).first().name == "new.md" and e.setting("embedding_profile") and e.chunk(1).count() == 0
+    # vectors of another model are made anew
+    t = e.store.read()
+    e.store.commit(e.store.version(), {"settings": t["settings"].where("key <> 'embedding_profile'").unionByName(spark.createDataFrame([("embedding_profile", "old")], "key string, value string"))})
+    assert e.reconcile() == ["vectors cleared", "indexed"] and e.reconcile() == []
     e._busy.acquire()
     with pytest.raises(BusyError):
         e.sync()

@@ -138,11 +138,19 @@ def format_bytes(size: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
+    """Milliseconds; seconds with one decimal under ten and none under sixty; else minutes and seconds.
+
+    A half is rounded up, as the double that the seconds are has it: 1 150 ms are a little less than 1.15 s.
+    """
     seconds = ms / F.lit(1000.0)
+    high = seconds.cast("float").cast("double")
+    short = (ms - high * 1000) - (seconds - high) * 1000  # exact: by how much the double is less than the true value
+    tenths, rest = F.floor(ms / 100), ms % 100
+    up = F.when((rest > 50) | ((rest == 50) & (short <= 0)), 1).otherwise(0)
     return (
         F.when(ms < 1000, F.concat(F.round(ms).cast("bigint").cast("string"), F.lit(" ms")))
-        .when(ms < 10_000, F.format_string("%.1f s", seconds))
-        .when(ms < 60_000, F.format_string("%.0f s", seconds))
+        .when(ms < 10_000, F.format_string("%.1f s", (tenths + up) / F.lit(10.0)))
+        .when(ms < 60_000, F.concat(F.floor((ms + 500) / 1000).cast("string"), F.lit(" s")))
         .otherwise(F.concat((ms / 60_000).cast("bigint").cast("string"), F.lit("m "), ((ms % 60_000) / 1000).cast("bigint").cast("string"), F.lit("s")))
     )
 

@@ -568,7 +568,7 @@ def q_failure_record(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("q_format", """SELECT doc_id, strftime(make_timestamp(modified_ms * 1000), '%b %-d, %Y') AS day,
     CASE WHEN instr(lower(name), 'report') > 0 THEN substr(name, 1, instr(lower(name), 'report') - 1) || '<mark>' || substr(name, instr(lower(name), 'report'), 6) || '</mark>' || substr(name, instr(lower(name), 'report') + 6) ELSE name END AS marked,
-    CASE WHEN size < 1000 THEN size || ' ms' WHEN size < 10000 THEN printf('%.1f s', size / 1000.0::DOUBLE) WHEN size < 60000 THEN printf('%.0f s', size / 1000.0::DOUBLE) ELSE (size // 60000) || 'm ' || ((size % 60000) // 1000) || 's' END AS took
+    CASE WHEN size < 1000 THEN size || ' ms' WHEN size < 10000 THEN printf('%.1f s', (CASE WHEN size % 100 = 50 AND size % 250 = 0 THEN size + 50 ELSE size END) / 1000.0::DOUBLE) WHEN size < 60000 THEN ((size + 500) // 1000) || ' s' ELSE (size // 60000) || 'm ' || ((size % 60000) // 1000) || 's' END AS took
     FROM documents WHERE modified_ms IS NOT NULL AND size IS NOT NULL""")
 def q_format(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").where("modified_ms is not null and size is not null")

@@ -60,3 +60,10 @@ def test_names_and_display(spark):
     df = spark.createDataFrame([(500,), (2500,), (45_000,), (125_000,)], "n bigint")
     assert [x[0] for x in df.select(T.format_duration(F.col("n"))).collect()] == ["500 ms", "2.5 s", "45 s", "2m 5s"]
     assert one(spark, "Hello World", lambda c: T.highlight(c, F.lit("world")))[0] == "Hello <mark>World</mark>"
+
+
+def test_durations_round_as_doubles_do(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rows = spark.range(1000, 10_000).select("id", T.format_duration(F.col("id")).alias("d")).collect()
+    assert all(r.d == f"{Decimal(r.id / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)} s" for r in rows)

@@ -57,6 +57,10 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, single, pairs))
 
 
+def has_terms(text: Column) -> Column:
+    return F.lower(text).rlike(f"[a-z0-9_]{{2,}}|{CJK}")
+
+
 def sorted_terms(text: Column) -> Column:
     return F.array_sort(terms(text))
 

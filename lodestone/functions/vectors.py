@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import terms
+from lodestone.functions.text import has_terms, terms
 
 #: Fixed value: buckets of the hashed embedding.
 BUCKETS = 768
@@ -43,14 +43,16 @@ def sparse_features(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     The sparse form of a hashed bag-of-terms embedding, one row a text: buckets in their order, those without terms left
     out; a text without terms has no row. Everything is counted inside the row, so nothing is shuffled.
     """
-    sorted_ = df.select(*keys, F.array_sort(F.transform(terms(text), lambda t: term_bucket(t).cast("int"))).alias("__b")).where(F.size("__b") > 0)
+    some = df.where(has_terms(text))  # a filter on the arrays themselves would be computed once more below them
+    sorted_ = some.select(*keys, F.sort_array(F.transform(terms(text), lambda t: term_bucket(t).cast("int"))).alias("__b"))
     at = F.filter(F.sequence(F.lit(0), F.size("__b") - 1), lambda i: (i == 0) | (F.get("__b", i) != F.get("__b", i - 1)))
     runs = sorted_.select(*keys, "__b", at.alias("__at"))
     ends = F.concat(F.slice("__at", F.lit(2), F.size("__at")), F.array(F.size("__b")))
     counted = runs.select(*keys, F.transform("__at", lambda i: F.get("__b", i)).alias("buckets"), F.zip_with("__at", ends, lambda a, b: (b - a).cast("double")).alias("__c"))
     norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda s, x: s + x * x))
-    sized = counted.select(*keys, "buckets", "__c", norm.alias("__n"))
-    return sized.select(*keys, "buckets", F.zip_with("buckets", "__c", lambda b, c: F.when(b % 2 == 0, c).otherwise(-c) / F.col("__n")).alias("weights"))
+    # the length is an element of its own, so that it is found once for the row and not for every bucket
+    weights = F.transform(F.array(norm), lambda n: F.zip_with("buckets", "__c", lambda b, c: F.when(b % 2 == 0, c).otherwise(-c) / n))
+    return counted.select(*keys, "buckets", F.get(weights, F.lit(0)).alias("weights"))
 
 
 def hashed_features(df: DataFrame, keys: list[str], text: Column) -> DataFrame:

@@ -1,3 +1,4 @@
+import glob
 import itertools
 import random
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import encoding, fusion, graphs, languages, leaks, lookalikes, nearcopies, neighbours, splitting, tokens
+from lodestone.runtime import shared_dir
 
 RNG = random.Random(11)
 WORDS = ["pump", "report", "ledger", "harbour", "meeting", "invoice", "sensor", "drawing", "archive", "paint", "storm", "copper", "violet", "signal", "window", "garden"]
@@ -363,6 +365,36 @@ def test_neighbours_reach_the_recall_over_hundreds_of_shards(spark, monkeypatch,
     assert recall >= 0.9
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_neighbours_shuffle_no_copy_for_each_cell_searched(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 10)) @ rng.normal(size=(10, 64)) + rng.normal(size=(8000, 64)) * 0.1
+    x[:500] = x[0] + rng.normal(size=(500, 64)) * 0.01  # a dense cell, cut into parts
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, embedding array<double>")
+    monkeypatch.setattr(neighbours, "SHARD", 20)
+    monkeypatch.setattr(neighbours, "LARGE", 1)
+    monkeypatch.setattr(neighbours, "SLICE", 400)
+    search = neighbours.Neighbours(df, "id")
+    assert neighbours.probes(400) > 16
+    before = _shuffled(spark)
+    found = {(r.key, r.neighbour) for r in search.between_points().collect()}
+    assert _shuffled(spark) - before < 4 * x.size * 4
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert len(found) == 40_000 and sum((a, int(b)) in found for a in range(8000) for b in best[a]) >= 0.95 * 40_000
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file://')}/cells-*")
+
+
 def test_graph_is_exact_on_few_points():
     x = np.random.default_rng(2).normal(size=(20, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -4,6 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import catalog, chunking, embedding, keyword, search, sync
 from lodestone.operators import vectors as exact
@@ -82,6 +84,20 @@ def test_names_by_sequences_equal_the_scan(spark, monkeypatch):
     assert {tuple(r) for r in search.name_matches(req, docs).collect()} == want
 
 
+def test_names_meet_requests_over_common_terms_only(spark, tmp_path):
+    names = ["预算报告 final_plan", "预算报告 final_plan", "报告 a", "", None, "BUDGET plan", "x"]
+    asked = ["预算报告", "plan Budget", "plan Budget", "报", "", None, "报告 final_plan plan"]
+    docs = spark.createDataFrame(list(enumerate([*names, names[0]])), "doc_id bigint, name string")
+    docs.unionByName(docs.where("doc_id = 2")).write.parquet(f"{tmp_path}/documents.parquet")
+    req = spark.createDataFrame([(20 * i, q) for i, q in enumerate(asked)] + [(20, "报告"), (7, "预算报告")], "query_id bigint, query string")
+    req.write.parquet(f"{tmp_path}/search_requests.parquet")
+    got = entry.queries()["q_lexical_relevance"](spark, str(tmp_path))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = spark.read.parquet(f"{tmp_path}/documents.parquet").crossJoin(req.where("query_id % 20 = 0")).withColumn("share", F.round(T.coverage(F.col("query"), F.col("name")), 6))
+    want = pairs.where("share > 0").select("query_id", "doc_id", "share").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 15
+
+
 def test_roots_and_prefixes(spark):
     paths = spark.createDataFrame([("/a/b/c.txt",), ("/a/bc/d.txt",), ("/x",), ("/a/b",)], "path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/",)], "path string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import catalog, chunking, embedding, keyword, search, sync
+from lodestone.operators import blocks, catalog, chunking, embedding, keyword, search, sync
 from lodestone.operators import vectors as exact
 from lodestone.operators.ranking import grouped_rank
 from lodestone.streaming import changes
@@ -98,6 +98,27 @@ def test_names_meet_requests_over_common_terms_only(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 15
 
 
+def test_many_requests_read_blocks_and_rank_the_same(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = ["budget", "plan", "foo_bar", "bar", "预算报告", "维护日志", "巡检", "depot", "Sensor_", "x" * 45]
+    text = lambda n: rng.choice([" ", "_", "-"]).join(rng.choices(words, k=n))
+    docs = [(f"d{i:02}", f"/p/{i}", rng.choice([text(3), text(3), None]), 1, 1, rng.choice(["PDF", "txt", None])) for i in range(60)]
+    chunks = [(i, f"d{rng.randrange(65):02}", i % 7, rng.choice([text(30), text(200), text(5), "", None])) for i in range(400)]
+    req = [(i, rng.choice([text(2), text(1).upper(), " "]), rng.choice([None, "keyword", "semantic", "hybrid"]), rng.choice([None, "", "pdf", "txt", "odt"]), rng.choice([None, 1, 5, 100])) for i in range(60)]
+    spark.createDataFrame(docs, "id string, path string, name string, modified_ms bigint, size bigint, extension string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(chunks + chunks[-9:], "id bigint, document_id string, position int, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame(req, "query_id bigint, query string, search_mode string, extension string, max_results int").write.parquet(f"{tmp_path}/search_requests.parquet")
+    batch = lambda: sorted(map(str, entry.queries()["q_search_batch"](spark, str(tmp_path)).collect()))
+    want = batch()
+    monkeypatch.setattr(search, "MANY", 0)
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    monkeypatch.setattr(keyword, "bm25", None)  # lists every pair of a request and a chunk
+    assert batch() == want and len(want) > 300
+    stored = search.build_index(*[spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "chunks")])
+    by_term = search.Index(stored.documents, stored.chunks, stored.postings.by_term(), stored.vectors)
+    assert sorted(map(str, search.search(spark.read.parquet(f"{tmp_path}/search_requests.parquet"), by_term).collect())) == want
+
+
 def test_roots_and_prefixes(spark):
     paths = spark.createDataFrame([("/a/b/c.txt",), ("/a/bc/d.txt",), ("/x",), ("/a/b",)], "path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/",)], "path string")
